@@ -3,13 +3,13 @@
 A document is its set of distinct word shingles. Rounds of hashed bin placement fill T coordinates: in round i < T
 every shingle goes to a hashed bin, in round T + j to bin j, and a bin keeps the least (round, hash); two sets agree in
 a coordinate with the probability of their similarity, with concentration, and every coordinate fills. BANDS bands
-of ROWS coordinates give candidates (a pair at the threshold is missed with a probability below 1e-7), and candidates
-are confirmed on full shingle sets.
+of ROWS coordinates give candidates (a pair at a similarity of 0.85 is missed with a probability of 2e-8, at 0.8 of
+3e-6), and candidates are confirmed on full shingle sets.
 
 Groups never become all their pairs. Equal sets are one class. In each bucket of a band, members are compared with
-one hub; verified links join components, and the next round has other hubs and compares only members of different
-components. When few cross-component pairs are left, all of them (with near enough sketches and sizes) are confirmed,
-so every link that joins two components is tested.
+HUBS hubs, and confirmed links join components. Then the pairs of a bucket that lie in different components and have
+near enough sketches and sizes are confirmed, each in the first band that both share, so every link that joins two
+components is tested.
 
 Defined results: a text without words has an empty set and links with nothing. A text with fewer words than a shingle
 is one shingle, its whole sequence. Repeated rows get the same result each; rows with a null doc_id are not linked and
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, slices, text_or_empty, word_hashes
 
-T, BANDS, ROWS = 128, 32, 4
-#: Rounds of hubs, and residual pairs (per row of a bucket) from which all are confirmed.
-HUB_ROUNDS, RESIDUAL = 6, 4
+T, BANDS, ROWS = 256, 24, 4
+#: Hubs of a bucket; ids up to which the rows with them are picked out by a broadcast (16 MB) and beyond by a shuffle.
+HUBS, BROADCAST_IDS = 3, 1_000_000
 _ROUND = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POSITION = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -95,7 +95,7 @@ def _sketches(k: int):  # noqa: ANN202
                 if full:
                     rows = np.stack([sketch(sets[i]) for i in full])
                     with np.errstate(over="ignore"):
-                        banded = mix((mix(rows).reshape(-1, BANDS, ROWS) * _POSITION[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                        banded = mix((mix(rows)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _POSITION[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                     packed = np.packbits((mix(rows + np.uint64(5)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                     for j, i in enumerate(full):
                         digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
@@ -165,57 +165,60 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link. Sets are made for the documents in pairs only; the hub of many pairs is
-    the join's key, which adaptive execution splits."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("_text")).join(ids, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_full_sets(k), "id long, items binary").dropDuplicates(["id"]), "sets")
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose `id` is in ids (distinct, materialised)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets link. Only the sets of documents in pairs move; the hub of many pairs is the
+    join's key, which adaptive execution splits."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    own = _of(sets, ids)
+    with_b = pairs.join(own.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
+    with_both = with_b.join(own.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
     return with_both.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _first_shared() -> Column:
+    """No earlier band is shared by x and y."""
+    earlier = lambda side: F.slice(F.col(f"{side}.info.bands"), F.lit(1), F.col("x.band"))
+    return ~F.exists(F.zip_with(earlier("x"), earlier("y"), lambda p, q: p == q), lambda e: e)
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
     all_ = materialize(rows.mapInArrow(_sketches(k), "doc_id long, n long, digest binary, bands array<long>, bits array<long>"), "sketches")
     classes = materialize(all_.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = all_.join(classes.select("rep", F.col("digest").alias("_own")), (all_["doc_id"] == F.col("rep")) & (all_["digest"] == F.col("_own"))).dropDuplicates(["rep"])
-    heads = heads.select("rep", F.struct(F.col("rep"), F.col("n"), F.col("bits")).alias("doc"), F.explode("bands").alias("key"))
-    crowded = heads.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    buckets = materialize(heads.join(crowded, "key").select("key", "rep", "doc"), "buckets")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    edges, labels = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        now = buckets.withColumn("comp", F.col("rep")) if labels is None else buckets.join(labels, buckets["rep"] == labels["id"], "left").select("key", "rep", "doc", F.coalesce("comp", "rep").alias("comp"))
-        # members by component and bucket: buckets of one component are done
-        spread = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m")).groupBy("key").agg(F.sum("_m").alias("_rows"), F.sum(F.col("_m") * F.col("_m")).alias("_sq"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
-        spread = materialize(spread.withColumn("_pairs", (F.col("_rows") * F.col("_rows") - F.col("_sq")) / 2), "spread")
-        total = spread.agg(F.sum("_pairs").alias("p"), F.sum("_rows").alias("r")).first()
-        if not total["r"]:
-            break
-        active = now.join(spread.select("key"), "key")
-        if turn and (turn == HUB_ROUNDS or total["p"] <= RESIDUAL * total["r"]):
-            x, y = active.alias("x"), active.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _near(percent, "x.doc", "y.doc")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            last = True
-        else:
-            order = F.xxhash64("rep", F.lit(turn))
-            hubs = active.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("comp"), F.col("doc"))).alias("hub"))
-            pairs = active.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _near(percent, "doc", "hub.doc")).select(F.col("hub.doc.rep").alias("a"), F.col("rep").alias("b"))
-            last = False
-        pairs = materialize(pairs.distinct(), "pairs")
-        got = materialize(_verified(pairs, whole, k, percent), "edges")
-        if got.limit(1).count():
-            edges = got if edges is None else edges.unionByName(got)
-            labels = components(edges)
-        if last:
-            break
-
-    named = classes if labels is None else classes.join(labels, classes["rep"] == labels["id"], "left")
-    named = named.select("digest", F.coalesce("comp", "rep").alias("_comp") if labels is not None else F.col("rep").alias("_comp"))
+    heads = materialize(heads.select("rep", "n", "bits", "bands"), "heads")
+    keys = heads.select("rep", F.posexplode("bands").alias("band", "key"))
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    buckets = materialize(keys.join(crowded, "key", "left_semi"), "buckets")
+    ids = materialize(buckets.select(F.col("rep").alias("id")).distinct(), "ids")
+    known = materialize(_of(heads.withColumnRenamed("rep", "id"), ids), "members")
+    sets = materialize(_of(rows.select(F.col("doc_id").alias("id"), "_text"), ids).mapInArrow(_full_sets(k), "id long, items binary").dropDuplicates(["id"]), "sets")
+
+    hubs = buckets.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)])
+    spokes = buckets.join(hubs, "key").select("rep", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    x = spokes.join(known.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    tested = materialize(x.where(_near(percent, "x", "y")).select("a", "b"), "pairs")
+    edges = materialize(_verified(tested, sets, percent), "edges")
+    labels = components(edges)
+
+    info = known.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias("rep"), F.coalesce("comp", "id").alias("comp"), F.struct("n", "bits", "bands").alias("info"))
+    now = buckets.join(info, "rep")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select(F.col("key").alias("mixed"))
+    active = materialize(now.join(mixed, F.col("key") == F.col("mixed"), "left_semi"), "active")
+    x, y = active.alias("x"), active.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+    pairs = x.join(y, across & _near(percent, "x.info", "y.info") & _first_shared()).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = materialize(_verified(materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent), "edges")
+    if more.limit(1).count():
+        labels = components(edges.unionByName(more))
+
+    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("comp", "rep").alias("_comp"))
     out = all_.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
