@@ -1 +1,5 @@
+"""Readers and writers."""
 
+from .io import (  # noqa: F401
+    read_csv, read_images, read_sentences, table, write_csv, write_json_report, write_partitioned,
+)
