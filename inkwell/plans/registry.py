@@ -209,7 +209,7 @@ def word_gaps(t):  # noqa: ANN001, ANN201
 @query("""WITH f AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, user_id, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM f""")
 def gap_islands(t):  # noqa: ANN001, ANN201
-    e = t("events").withColumn("at", F.col("ts").cast("double"))
+    e = t("events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
     return ordered.islands(e, "user_id", ["ts", "event_id"], "at", 6 * 3600.0).select("event_id", "user_id", "island")
 
 
@@ -226,14 +226,16 @@ def run_lengths(t):  # noqa: ANN001, ANN201
     return ordered.runs(t("events").withColumn("high", F.col("value") > 50), "user_id", ["ts", "event_id"], "high")
 
 
-@query("WITH " + PRICED + ", r AS (SELECT o_custkey, price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM priced WHERE price IS NOT NULL) SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(covar_samp(i, price) / var_pop(i), 4) END AS slope FROM r GROUP BY 1")
+@query("WITH " + PRICED + ", r AS (SELECT o_custkey, price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM priced WHERE price IS NOT NULL) SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(covar_samp(i, price) / var_pop(i) / avg(price), 6) END AS slope FROM r GROUP BY 1")
 def conf_slope(t):  # noqa: ANN001, ANN201
-    return ordered.index_slope(with_gaps(t), "o_custkey", ["o_orderdate", "o_orderkey"], "price").select("o_custkey", "n", F.round("slope", 4).alias("slope"))
+    s = ordered.index_slope(with_gaps(t), "o_custkey", ["o_orderdate", "o_orderkey"], "price")
+    mean = with_gaps(t).groupBy("o_custkey").agg(F.avg("price").alias("m"))
+    return s.join(mean, "o_custkey").select("o_custkey", "n", F.round(F.col("slope") / F.col("m"), 6).alias("slope"))
 
 
-@query("WITH r AS (SELECT o_custkey, o_totalprice v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) i, count(*) OVER (PARTITION BY o_custkey) n FROM orders) SELECT o_custkey, round(avg(v) FILTER (WHERE i <= greatest(1, n // 4)) - avg(v) FILTER (WHERE i > n - greatest(1, n // 4)), 4) AS drop FROM r GROUP BY 1")
+@query("WITH r AS (SELECT o_custkey, o_totalprice v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) i, count(*) OVER (PARTITION BY o_custkey) n FROM orders) SELECT o_custkey, round(avg(v) FILTER (WHERE i <= greatest(1, n // 4)) - avg(v) FILTER (WHERE i > n - greatest(1, n // 4)), 6) AS drop FROM r GROUP BY 1")
 def quarter_drop(t):  # noqa: ANN001, ANN201
-    return ordered.quarter_drop(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", F.round("drop", 4).alias("drop"))
+    return ordered.quarter_drop(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", F.round("drop", 6).alias("drop"))
 
 
 @query("WITH d AS (SELECT user_id, value - 50 AS v, ts, event_id FROM events), s AS (SELECT user_id, sign(v) s, lag(sign(v)) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM d WHERE abs(v) > 10) SELECT u.user_id, coalesce(c, 0)::BIGINT AS changes FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, sum(CASE WHEN s <> p THEN 1 ELSE 0 END) c FROM s GROUP BY 1) USING (user_id)")
@@ -400,13 +402,13 @@ def script_counts(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.char_length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("latin"), text.script_of(F.col("text")).alias("script"))
 
 
-@query(f"WITH a AS ({_ASCII}) SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), x -> regexp_matches(regexp_replace(x, '[^A-Za-z]', '', 'g'), '^.+[A-Z]')))::BIGINT AS mid_capitals, len(list_filter(regexp_split_to_array(text, '\\s+'), x -> regexp_matches(x, '\\..')))::BIGINT AS inner_periods FROM a")
+@query(f"WITH a AS ({_ASCII}) SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(regexp_replace(x, '[^A-Za-z]', '', 'g'), '^.+[A-Z]')))::BIGINT AS mid_capitals, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '\\..')))::BIGINT AS inner_periods FROM a")
 def midword_caps(t):  # noqa: ANN001, ANN201
     a = t("documents").where(F.octet_length("text") == F.char_length("text"))
     return a.select("doc_id", text.mid_word_capitals(F.col("text")).cast("long").alias("mid_capitals"), text.inner_periods(F.col("text")).cast("long").alias("inner_periods"))
 
 
-@query(f"WITH a AS ({_ASCII}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') AS w FROM a) SELECT doc_id, (SELECT count(*) FROM range(1, len(w)) x(i) WHERE w[i] = w[i + 1])::BIGINT AS duplicates FROM w")
+@query(f"WITH a AS ({_ASCII}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM a) SELECT doc_id, (SELECT count(*) FROM range(1, len(w)) x(i) WHERE w[i] = w[i + 1])::BIGINT AS duplicates FROM w")
 def adjacent_dups(t):  # noqa: ANN001, ANN201
     a = t("documents").where(F.octet_length("text") == F.char_length("text"))
     return a.select("doc_id", text.adjacent_duplicates(F.col("text")).cast("long").alias("duplicates"))
