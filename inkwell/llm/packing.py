@@ -26,8 +26,9 @@ from .tokencount import encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Nodes that the branch-and-bound may open; the incumbent stands when they are used up.
-NODES = 20_000
+#: Nodes that the branch-and-bound may open, whatever the number of documents (some seconds on the driver); the
+#: incumbent stands when they are used up. Best fit is tried on what is left at every so many levels.
+NODES, TRY_EVERY = 1_000, 8
 #: Lengths in a completion besides the largest, and completions tried at a node.
 WIDTH, BRANCHES = 3, 4
 
@@ -118,7 +119,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     waste_allowed = lambda used: (used * capacity) - sum(s * n for s, n in counts.items())
     budget = [nodes]
 
-    def descend(left: dict[int, int], made: list[Pattern], used: int, waste: int) -> None:
+    def descend(left: dict[int, int], made: list[Pattern], used: int, waste: int, depth: int) -> None:
         nonlocal incumbent, best
         if best <= bound or budget[0] <= 0:
             return
@@ -127,9 +128,10 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             if used < best:
                 incumbent, best = list(made), used
             return
-        rest = best_fit_decreasing(left, capacity)
-        if (total := used + sum(p.times for p in rest)) < best:
-            incumbent, best = [*made, *rest], total
+        if depth % TRY_EVERY == 1:
+            rest = best_fit_decreasing(left, capacity)
+            if (total := used + sum(p.times for p in rest)) < best:
+                incumbent, best = [*made, *rest], total
         largest = max(left)
         for pieces in completions(left, largest, capacity):
             parts = {s: (largest, *pieces).count(s) for s in (largest, *pieces)}
@@ -140,14 +142,14 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             if spilt > waste_allowed(best - 1):
                 continue  # this waste alone costs as much as the incumbent
             after = {s: n - times * parts.get(s, 0) for s, n in left.items() if n > times * parts.get(s, 0)}
-            descend(after, [*made, Pattern(tuple(parts.items()), times)], used + times, spilt)
+            descend(after, [*made, Pattern(tuple(parts.items()), times)], used + times, spilt, depth + 1)
 
     import sys
 
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
     try:
-        descend(counts, [], 0, 0)
+        descend(counts, [], 0, 0, 0)
     finally:
         sys.setrecursionlimit(limit)
     return incumbent
