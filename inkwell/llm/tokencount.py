@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import find_words, fresh_path, mix, slices, text_or_empty
 
-#: Distinct words whose ids one Python worker keeps (about 130 MB); beyond it the store is emptied, which changes no result.
-WORD_STORE = 1 << 21
+#: Distinct words whose ids one Python worker keeps (about 35 MB); beyond it the store is emptied, which changes no result.
+WORD_STORE = 1 << 19
 
 
 class ByteBpe:
