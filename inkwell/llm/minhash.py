@@ -8,7 +8,7 @@ of ROWS coordinates give candidates (a pair at a similarity of 0.85 is missed wi
 
 Groups never become all their pairs. Equal sets are one class. In each bucket of a band, members are compared with
 HUBS hubs, and confirmed links join components. Then the pairs of a bucket that lie in different components and have
-near enough sketches and sizes are confirmed, each in the first band that both share, so every link that joins two
+near enough sketches, sizes and parities are confirmed, each in the first band that both share, so every link that joins two
 components is tested.
 
 Defined results: a text without words has an empty set and links with nothing. A text with fewer words than a shingle
@@ -32,6 +32,8 @@ from .common import materialize, mix, slices, text_or_empty, word_hashes
 T, BANDS, ROWS = 256, 24, 4
 #: Hubs of a bucket; ids up to which the rows with them are picked out by a broadcast (16 MB) and beyond by a shuffle.
 HUBS, BROADCAST_IDS = 3, 1_000_000
+#: Cells of a set's parity: two sets differ in at least as many shingles as in cells.
+CELLS = 1024
 _ROUND = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POSITION = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -83,6 +85,11 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """CELLS bits: whether an odd number of items fall in each cell."""
+    return np.packbits((np.bincount((items >> np.uint64(54)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,6 +99,7 @@ def _sketches(k: int):  # noqa: ANN202
                 digests: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
+                odd: list = [None] * len(sets)
                 if full:
                     rows = np.stack([sketch(sets[i]) for i in full])
                     with np.errstate(over="ignore"):
@@ -99,10 +107,10 @@ def _sketches(k: int):  # noqa: ANN202
                     packed = np.packbits((mix(rows + np.uint64(5)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                     for j, i in enumerate(full):
                         digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                        bands[i], bits[i] = banded[j], packed[j]
+                        bands[i], bits[i], odd[i] = banded[j], packed[j], parity(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "digest", "bands", "bits"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "digest", "bands", "bits", "odd"],
                 )
 
     return run
@@ -142,10 +150,12 @@ def most_mismatches(percent: int) -> int:
 
 
 def _near(percent: int, a: str, b: str) -> Column:
-    """Sizes and sketches that a linked pair can have."""
+    """Sizes, sketches and parities that a linked pair can have. Sizes and parities refute exactly: sets of n and m
+    items link only if they differ in at most (n + m) * (100 - percent) / (100 + percent) of them."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(T // 64)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= most_mismatches(percent))
+    apart = lambda c, words: sum((F.bit_count(F.get(F.col(f"{a}.{c}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.{c}"), F.lit(i)))) for i in range(words)), F.lit(0))
+    few = apart("odd", CELLS // 64) * (100 + percent) <= (n + m) * (100 - percent)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart("bits", T // 64) <= most_mismatches(percent)) & few
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -189,10 +199,10 @@ def _first_shared() -> Column:
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    all_ = materialize(rows.mapInArrow(_sketches(k), "doc_id long, n long, digest binary, bands array<long>, bits array<long>"), "sketches")
+    all_ = materialize(rows.mapInArrow(_sketches(k), "doc_id long, n long, digest binary, bands array<long>, bits array<long>, odd array<long>"), "sketches")
     classes = materialize(all_.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = all_.join(classes.select("rep", F.col("digest").alias("_own")), (all_["doc_id"] == F.col("rep")) & (all_["digest"] == F.col("_own"))).dropDuplicates(["rep"])
-    heads = materialize(heads.select("rep", "n", "bits", "bands"), "heads")
+    heads = materialize(heads.select("rep", "n", "bits", "odd", "bands"), "heads")
     keys = heads.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     buckets = materialize(keys.join(crowded, "key", "left_semi"), "buckets")
@@ -202,12 +212,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     hubs = buckets.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)])
     spokes = buckets.join(hubs, "key").select("rep", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    x = spokes.join(known.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    x = spokes.join(known.select(F.col("id").alias("a"), F.struct("n", "bits", "odd").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("n", "bits", "odd").alias("y")), "b")
     tested = materialize(x.where(_near(percent, "x", "y")).select("a", "b"), "pairs")
     edges = materialize(_verified(tested, sets, percent), "edges")
     labels = components(edges)
 
-    info = known.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias("rep"), F.coalesce("comp", "id").alias("comp"), F.struct("n", "bits", "bands").alias("info"))
+    info = known.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias("rep"), F.coalesce("comp", "id").alias("comp"), F.struct("n", "bits", "odd", "bands").alias("info"))
     now = buckets.join(info, "rep")
     mixed = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select(F.col("key").alias("mixed"))
     active = materialize(now.join(mixed, F.col("key") == F.col("mixed"), "left_semi"), "active")

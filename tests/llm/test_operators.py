@@ -243,6 +243,20 @@ def test_minhash_matches_brute_force(docs, empty, rows):
     assert minhash.link(empty, 3, 85).count() == 0
 
 
+def test_parity_refutes_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 15, 150, 900, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for changed in (0, 1, n // 20, n // 8):
+            y = np.unique(np.concatenate([x[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            differ = len(np.setxor1d(x, y, assume_unique=True))
+            cells = int(np.bitwise_count((minhash.parity(x) ^ minhash.parity(y)).view(np.uint64)).sum())
+            assert cells <= differ and (cells - differ) % 2 == 0
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                assert cells * 185 <= (len(x) + len(y)) * 15
+
+
 def test_language_model(docs, empty, rows):
     fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t, *_ in rows}
