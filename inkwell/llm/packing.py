@@ -157,6 +157,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
 
 def _pieces(capacity: int, keep_ids: bool):  # noqa: ANN202
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages in this worker no longer use
         enc, end = encoder(), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "_text"):
