@@ -3,22 +3,27 @@
 Pages become token streams of block tags and text slots, with adjacent repetitions folded into repeated groups. The
 distinct streams of a host are aligned one after another: what matches stays, what one side lacks becomes an optional
 group, or one more turn of a repeated group, and texts become slots. Streams are counted before they meet, and a
-host's streams are aligned in buckets whose wrappers are then aligned, so a host of any size is a small group. The
-wrapper and the text that its regions hold say where the host's main text is; menus, footers, adverts, forms and the
-like are left out by what their elements are.
+host's streams are aligned in buckets whose wrappers are then aligned, so a host of any size is a small group. Every
+page of a host matches its wrapper.
 
-Defined results: a null or empty html has an empty text. A null url is a host of its own. A page without the region
-that its host has gives its whole body without the boilerplate. Repeated rows get the same text each. An empty table
-gives an empty result; extra columns are not read.
+Where a host has an article or main element, that element holds its main text. A page without it is matched against
+the wrapper, and its text comes from the slots: a text that most pages with the slot hold there is the template's, the
+others are content. Menus, footers, adverts, forms and the like are left out by what their elements are.
+
+Defined results: a null or empty html has an empty text. A null url is a host of its own. Fewer than LEAST distinct
+pages with a slot tell nothing of it, and its texts stay. Exact copies of a page count once in that. Repeated rows get
+the same text each. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +35,8 @@ from .common import materialize, slices
 #: Buckets in which a host's streams are aligned first; longest unit of a repetition; bytes of wrappers that may be
 #: broadcast (beyond it they are joined by host).
 BUCKETS, UNIT, BROADCAST_BYTES = 64, 6, 8 << 20
+#: Distinct pages that must hold a text in a slot, besides most of those with the slot, for it to be the template's.
+LEAST = 3
 
 # Element names by role.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "head", "title"}
@@ -111,7 +118,13 @@ def walk(page: str) -> Iterator[tuple[str, str, list[tuple[str, bool]]]]:
 
 
 # ---- wrappers ---------------------------------------------------------------------------------------------------
-# An expression is a list of items: a symbol, ["+", expression] for one or more, ["?", expression] for none or one.
+# An expression is a list of items: a symbol, ["+", expression] for one or more, ["?", expression] for none or one,
+# ["*", expression] for any number.
+
+
+def grouped(part: list, least: int, many: bool) -> list:
+    """A group of `part`, at least 0 or 1 times and perhaps many times."""
+    return ["+" if least else "*", part] if many else ["?", part]
 
 
 def fold(items: list) -> list:
@@ -140,6 +153,8 @@ def fold(items: list) -> list:
             for x in items[1:]:
                 if not (isinstance(x, list) and x == once[-1]):
                     once.append(x)
+                elif x[0] == "?":
+                    once[-1] = ["*", x[1]]
             changed |= len(once) < len(items)
             items = once
     return items
@@ -147,16 +162,46 @@ def fold(items: list) -> list:
 
 def stream(page: str) -> list:
     """The folded token stream of a page: block tags and `#` for text that is not blank, boilerplate included."""
-    out: list = []
+    return fold(page_blocks(page)[0])
+
+
+def page_blocks(page: str, want: str = "") -> tuple[list[str], list[tuple[int, str]], bool]:
+    """The symbols of a page; its blocks of text outside boilerplate and within the element `want`, each with the number
+    of its symbol; whether that element is there."""
+    out: list[str] = []
+    blocks: list[tuple[int, str]] = []
+    held: list[str] = []
+    found, at = not want, -1
+
+    def close() -> None:
+        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        held.clear()
+        if text:
+            blocks.append((at, text))
+
     for kind, value, stack in walk(page):
-        if any(name in RAW for name, _ in stack):
-            continue
-        if kind == "text":
-            if value.strip() and (not out or out[-1] != "#"):
+        within = not want or any(name == want for name, _ in stack)
+        found |= within
+        raw = any(name in RAW for name, _ in stack)
+        if kind == "void":
+            if value == "hr":
+                close()
+            else:
+                held.append(" ")
+        elif kind == "text":
+            blank = not value.strip()
+            if not blank and not raw and (not out or out[-1] != "#"):
                 out.append("#")
-        elif kind in ("open", "close") and value not in INLINE and not (kind == "close" and value in OPTIONAL_END):
-            out.append(value if kind == "open" else "/" + value)
-    return fold(out)
+            if within and not any(noise for _, noise in stack):
+                if not blank:
+                    at = len(out) - 1
+                held.append(value)
+        elif value not in INLINE:
+            close()
+            if not raw and not (kind == "close" and value in OPTIONAL_END):
+                out.append(value if kind == "open" else "/" + value)
+    close()
+    return out, blocks, found
 
 
 def align(a: list, b: list) -> list:
@@ -173,9 +218,7 @@ def align(a: list, b: list) -> list:
         if x == y:
             return x
         kinds = {k[0] if isinstance(k, list) else "1" for k in (x, y)}
-        if "?" in kinds:
-            return ["?", core(x)]
-        return ["+", core(x)]
+        return grouped(core(x), not kinds & {"?", "*"}, bool(kinds & {"+", "*"}))
 
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -185,14 +228,17 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
 
     def optional(part: list) -> None:
-        part = [y for x in part for y in (x[1] if isinstance(x, list) and x[0] == "?" else [x])]
+        if len(part) == 1 and isinstance(part[0], list):
+            kind, part = part[0]
+        else:
+            kind = "1"
         if part and out and isinstance(out[-1], list) and out[-1][1] == part:
-            return
-        if part and out[-len(part) :] == part:
+            out[-1] = grouped(part, out[-1][0] == "+", True)
+        elif part and out[-len(part) :] == part:
             del out[-len(part) :]
             out.append(["+", part])
         elif part:
-            out.append(["?", part])
+            out.append(grouped(part, 0, kind in ("+", "*")))
 
     while i < n or j < m:
         if i < n and j < m and same(a[i], b[j]):
@@ -204,6 +250,9 @@ def align(a: list, b: list) -> list:
             i += 1
         while j < m and not (i < n and same(a[i], b[j])) and (i >= n or best[i][j + 1] >= best[i + 1][j]):
             j += 1
+        if [y for x in a[i0:i] for y in core(x)] == b[j0:j] and i - i0 == 1:
+            out.append(grouped(b[j0:j], 0, a[i0][0] in ("+", "*")))
+            continue
         optional(a[i0:i])
         optional(b[j0:j])
     return out
@@ -217,15 +266,69 @@ def symbols(expression: list) -> Iterator[str]:
             yield x
 
 
-def region(wrapper: list, chars: dict[str, int]) -> str:
-    """The element that holds a host's main text: an article or main in the wrapper, else the container with the most
-    text that is not boilerplate."""
+class Matcher:
+    """Matches symbols against an expression: each is given the number of the place in the expression it stands for."""
+
+    def __init__(self, expression: list) -> None:
+        self.symbols = list(symbols(expression))
+        self.follow: list[set[int]] = [set() for _ in self.symbols]
+        self.at = 0
+        first, self.last, self.empty = self._build(expression)
+        self.start = self._by_symbol(first)
+        self.next = [self._by_symbol(f) for f in self.follow]
+
+    def _build(self, expression: list) -> tuple[set[int], set[int], bool]:
+        first, last, empty = set(), set(), True
+        for x in expression:
+            if isinstance(x, list):
+                f, l, e = self._build(x[1])
+                if x[0] in ("+", "*"):
+                    for p in l:
+                        self.follow[p] |= f
+                e = e or x[0] in ("?", "*")
+            else:
+                f, l, e = {self.at}, {self.at}, False
+                self.at += 1
+            for p in last:
+                self.follow[p] |= f
+            first, last, empty = first | f if empty else first, last | l if e else l, empty and e
+        return first, last, empty
+
+    def _by_symbol(self, places: set[int]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for p in sorted(places):
+            out.setdefault(self.symbols[p], []).append(p)
+        return out
+
+    def match(self, page: list[str]) -> list[int] | None:
+        """The place of each symbol, or None if the expression does not match."""
+        if not page:
+            return [] if self.empty else None
+        steps: list[dict[int, int]] = [{p: -1 for p in self.start.get(page[0], ())}]
+        for x in page[1:]:
+            step: dict[int, int] = {}
+            for s in steps[-1]:
+                for p in self.next[s].get(x, ()):
+                    step.setdefault(p, s)
+            steps.append(step)
+        ends = self.last & steps[-1].keys()
+        if not ends:
+            return None
+        out = [min(ends)]
+        for step in reversed(steps[1:]):
+            out.append(step[out[-1]])
+        return out[::-1]
+
+
+@lru_cache(maxsize=64)
+def matcher(wrapper: str) -> Matcher:
+    return Matcher(json.loads(wrapper))
+
+
+def region(wrapper: list) -> str:
+    """The element that holds a host's main text: an article or main in the wrapper, else empty."""
     names = set(symbols(wrapper))
-    for name in ("article", "main"):
-        if name in names:
-            return name
-    inner = {k: v for k, v in chars.items() if k not in ("html", "")}
-    return max(inner, key=lambda k: (inner[k], k)) if inner else "body"
+    return next((name for name in ("article", "main") if name in names), "")
 
 
 # ---- operators --------------------------------------------------------------------------------------------------
@@ -235,22 +338,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-_HELD = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tr", "td", "th", "tbody", "dl", "dt", "dd", "header")
-
-
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, kind, value, n): how many pages have a stream, and how many characters of text a container holds."""
+    """(host, value, n): how many pages have a stream."""
     for batch in batches:
         for part in slices(batch, "_html", 4 << 20):
             total: Counter = Counter()
             for host, page in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), strict=True):
-                total[host, "stream", json.dumps(stream(page))] += 1
-                for kind, value, stack in walk(page):
-                    if kind == "text" and value.strip() and not any(noise for _, noise in stack):
-                        holder = next((name for name, _ in reversed(stack) if name not in INLINE and name not in _HELD), "")
-                        total[host, "chars", holder] += len(value)
+                total[host, json.dumps(stream(page))] += 1
             keys = list(total)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array(list(total.values()), pa.int64())], ["host", "kind", "value", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(2)), pa.array(list(total.values()), pa.int64())], ["host", "value", "n"])
 
 
 def _infer_bucket(rows: pd.DataFrame) -> pd.DataFrame:
@@ -261,62 +357,84 @@ def _infer_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "value": [json.dumps(fold(wrapper or []))], "n": [int(rows["n"].sum())]})
 
 
+def slot_texts(page: str, wrapper: str, want: str = "") -> list[tuple[str, str]]:
+    """Blocks of a page as (key, text), the key being of the slot and the text; without a match the key is empty."""
+    names, blocks, _ = page_blocks(page, want)
+    places = matcher(wrapper).match(names)
+    return [(f"{places[i]}:{hashlib.blake2b(text.encode(), digest_size=8).hexdigest()}" if places else "", text) for i, text in blocks]
+
+
+def _slots(hosts: dict[str, dict] | None):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_html", 4 << 20):
+                rows = set()
+                wrappers = part.column("wrapper").to_pylist() if hosts is None else [hosts[h]["wrapper"] for h in part.column("host").to_pylist()]
+                for host, page, wrapper in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), wrappers, strict=True):
+                    digest = hashlib.blake2b(page.encode(errors="replace"), digest_size=16).hexdigest()
+                    for key, _ in slot_texts(page, wrapper):
+                        if key:
+                            rows |= {(host, key.split(":")[0], key, digest), (host, key.split(":")[0], "", digest)}
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["host", "slot", "key", "page"])
+
+    return run
+
+
+def _of_hosts(rows: DataFrame, hosts: DataFrame, function, schema: str) -> DataFrame:  # noqa: ANN001
+    """function over rows with what hosts says of their host: by a broadcast, or a join if that is large."""
+    columns = [c for c in hosts.columns if c != "host"]
+    size = hosts.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*hosts.columns))) + 64), F.lit(0)).alias("b")).first()["b"]
+    if size <= BROADCAST_BYTES:
+        return rows.mapInArrow(function({r["host"]: r.asDict() for r in hosts.collect()}), schema)
+    return rows.join(hosts.select("host", *columns), "host", "left").mapInArrow(function(None), schema)
+
+
+def _rows(pages: DataFrame, *columns: str) -> DataFrame:
+    return pages.select(*columns, host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("_html"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON), region, pages; from all pages."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("_html"))
-    facts = materialize(rows.mapInArrow(_facts, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n")), "streams")
-    streams = facts.where("kind = 'stream'").select("host", "value", "n", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).alias("_b"))
+    facts = materialize(_rows(pages).mapInArrow(_facts, "host string, value string, n long").groupBy("host", "value").agg(F.sum("n").alias("n")), "streams")
+    streams = facts.select("host", "value", "n", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).alias("_b"))
     schema = "host string, value string, n long"
     partial = streams.groupBy("host", "_b").applyInPandas(_infer_bucket, schema)
     merged = partial.groupBy("host").applyInPandas(_infer_bucket, schema)
-    chars = facts.where("kind = 'chars'").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("chars"))
-    joined = merged.join(chars, "host", "left")
-    choose = F.udf(lambda w, c: region(json.loads(w), c or {}), "string")
-    return materialize(joined.select("host", F.col("value").alias("wrapper"), choose("value", "chars").alias("region"), F.col("n").alias("pages")), "wrappers")
-
-
-def main_text(page: str, root: str) -> str:
-    """Blocks of the region (or of the body, if the page lacks it), joined by line ends."""
-
-    def blocks(want: str) -> tuple[bool, list[str]]:
-        out, held, found = [], [], False
-
-        def close() -> None:
-            text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            held.clear()
-            if text:
-                out.append(text)
-
-        for kind, value, stack in walk(page):
-            within = not want or any(name == want for name, _ in stack)
-            found |= within
-            if kind == "void":
-                if value == "hr":
-                    close()
-                else:
-                    held.append(" ")
-            elif kind != "text":
-                if value not in INLINE:
-                    close()
-            elif within and not any(noise for _, noise in stack):
-                held.append(value)
-        close()
-        return found, out
+    choose = F.udf(lambda w: region(json.loads(w)), "string")
+    return materialize(merged.select("host", F.col("value").alias("wrapper"), choose("value").alias("region"), F.col("n").alias("pages")), "wrappers")
+
 
-    found, out = blocks(root)
-    return "\n".join(out if found else blocks("")[1])
+def template_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, template: keys of the slots and texts that are the template's. Pages with an article or main have no part."""
+    bare = _rows(pages).where(~F.col("_html").rlike(r"(?i)<(article|main)[\s/>]"))
+    cells = _of_hosts(bare, wrappers.select("host", "wrapper"), _slots, "host string, slot string, key string, page string").distinct()
+    held = materialize(cells.groupBy("host", "slot", "key").agg(F.count(F.lit(1)).alias("n")), "slots")
+    slots = held.where("key = ''").select("host", "slot", F.col("n").alias("_filled"))
+    common = held.where(f"key != '' AND n >= {LEAST}").join(slots, ["host", "slot"]).where("2 * n > _filled")
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
 
 
-def _extract(regions: dict[str, str] | None):  # noqa: ANN202
+def main_text(page: str, root: str, wrapper: str = "[]", template: frozenset[str] = frozenset()) -> str:
+    """Blocks of the region, joined by line ends; if the page lacks it, those of the body that are not the template's."""
+    if root:
+        _, blocks, found = page_blocks(page, root)
+        if found:
+            return "\n".join(text for _, text in blocks)
+    return "\n".join(text for key, text in slot_texts(page, wrapper) if key not in template)
+
+
+def _extract(hosts: dict[str, dict] | None):  # noqa: ANN202
+    known = hosts and {h: (r["region"], r["wrapper"], frozenset(r["template"])) for h, r in hosts.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_html", 4 << 20):
                 pages = part.column("_html").to_pylist()
-                if regions is None:
-                    roots = [r or "article" for r in part.column("region").to_pylist()]
+                if hosts is None:
+                    facts = [(r or "", w or "[]", frozenset(t or ())) for r, w, t in zip(*(part.column(c).to_pylist() for c in ("region", "wrapper", "template")), strict=True)]
                 else:
-                    roots = [regions.get(h, "article") for h in part.column("host").to_pylist()]
-                text = pa.array([main_text(p, r) for p, r in zip(pages, roots, strict=True)], pa.string())
+                    facts = [known[h] if known and h in known else ("", "[]", frozenset()) for h in part.column("host").to_pylist()]
+                text = pa.array([main_text(p, *f) for p, f in zip(pages, facts, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), text], ["page_id", "url", "text"])
 
     return run
@@ -325,12 +443,8 @@ def _extract(regions: dict[str, str] | None):  # noqa: ANN202
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
     wrappers = infer_wrappers(pages) if wrappers is None else wrappers
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("_html"))
+    template = template_texts(pages, wrappers)
+    hosts = materialize(wrappers.join(template, "host", "left").select("host", "region", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template")), "hosts")
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string"
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("region") + 64), F.lit(0)).alias("b")).first()["b"]
-    if size <= BROADCAST_BYTES:
-        out = rows.mapInArrow(_extract({r["host"]: r["region"] for r in wrappers.select("host", "region").collect()}), schema)
-    else:
-        out = rows.join(wrappers.select("host", "region"), "host", "left").mapInArrow(_extract(None), schema)
+    out = _of_hosts(_rows(pages, "page_id", "url"), hosts, _extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

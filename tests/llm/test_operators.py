@@ -292,3 +292,36 @@ def test_pages(spark):
     out = {r["page_id"]: r["text"] for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[0] == "A & B\nOne two three\nFour" and out[10] == "" and out[11] == "" and out[12] == "only <this>"
     assert htmlwrap.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_take_their_text_from_slots(spark):
+    def page(i):
+        table = "<table><tr><td>figure %d</td></tr></table>" % (i * 7) if i % 3 == 0 else ""
+        extra = "<div class='x4'>Free delivery this week</div>" if i % 4 == 0 else ""
+        body = "".join(f"<p>story {i} part {j}</p>" for j in range(1 + i % 4))
+        return f"<html><body><div class='x1'>Acme Portal</div><div><ul><li>Goods<li>Team<li>Jobs</ul></div>{extra}<div class='x2'><h1>Title {i}</h1>{body}{table}</div><div class='x3'>Acme 2026</div></body></html>"
+
+    def want(i):
+        return "\n".join([f"Title {i}", *(f"story {i} part {j}" for j in range(1 + i % 4)), *([f"figure {i * 7}"] if i % 3 == 0 else [])])
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(24)] + [(100 + i, f"http://a.example/copy{i}", page(5)) for i in range(40)] + [(200, "http://few.example/1", page(1)), (201, "http://few.example/2", page(2))]
+    out = {r["page_id"]: r["text"] for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(24)] == [want(i) for i in range(24)] and all(out[100 + i] == want(5) for i in range(40))
+    assert out[200].startswith("Acme Portal\nGoods")
+
+
+def test_every_stream_matches_its_wrapper():
+    rng = random.Random(11)
+    for _ in range(200):
+        pages = []
+        for _ in range(rng.randint(1, 12)):
+            part = lambda: "".join(rng.choice(["<p>a", "<div>b</div>", "<ul><li>c<li>d</ul>", "<hr>", "e", "<section><p>f<p>g</section>"]) for _ in range(rng.randint(0, 6)))
+            pages.append(f"<div>{part()}</div>{part()}")
+        wrapper = htmlwrap.fold(htmlwrap.stream(pages[0]))
+        for p in pages[1:]:
+            wrapper = htmlwrap.fold(htmlwrap.align(wrapper, htmlwrap.stream(p)))
+        m = htmlwrap.Matcher(wrapper)
+        for p in pages:
+            names = htmlwrap.page_blocks(p)[0]
+            places = m.match(names)
+            assert places is not None and [m.symbols[i] for i in places] == names
