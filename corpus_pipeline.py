@@ -45,8 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of at most 1024."""
-    return packing.pack_documents(docs)
+    """Token pieces placed in sequences of at most 1024. Pieces of a length are placed, and sequences numbered, in the
+    order that the mix was written in."""
+    return packing.pack_documents(mixing.written_order(docs.select(*COLUMNS)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The stages learn, sketch and tokenize: SQL can't express them; tests compare with brute force.
+#: The stages learn, sketch and tokenize: SQL can't express them; tests run them on a small table.
 ORACLE_SQL = None
 
 

@@ -54,7 +54,18 @@ def ranked(df: DataFrame, key: str, order: list[str], n_rows: int, out: str) ->
     rows only. Each key is dealt over as many salts as the table needs, so a hot key never meets in one task: ranks
     are made within (key, salt) and shifted by the counts of the salts before."""
     salts = max(1, -(-n_rows // RANK_ROWS))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    return _ranked(df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")), key, order, out)
+
+
+def ranked_in_order(df: DataFrame, key: str, position: str, ties: list[str], n_rows: int, out: str) -> DataFrame:
+    """As ranked, but in the order of `position` (non-negative numbers without large gaps), then of ties: the salts are
+    ranges of positions."""
+    salts = max(1, -(-n_rows // RANK_ROWS))
+    width = int(df.agg(F.coalesce(F.max(position), F.lit(0)).alias("m")).first()["m"]) // salts + 1
+    return _ranked(df.withColumn("_salt", F.floor(F.col(position) / width).cast("int")), key, [position, *ties], out)
+
+
+def _ranked(salted: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

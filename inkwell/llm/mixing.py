@@ -148,4 +148,17 @@ def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     return mixed.repartitionByRange(n, "position").sortWithinPartitions("position")
 
 
-__all__ = ["default_shares", "in_order", "mix", "period", "phases", "windows"]
+def written_order(docs: DataFrame) -> DataFrame:
+    """docs, a table of files that in_order made, with `position`: that of the row in the files by name, from 0."""
+    placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = sorted((r["_file"], int(r["n"])) for r in placed.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect())
+    before, rows = 0, []
+    for name, n in sizes:
+        rows.append((name, before))
+        before += n
+    starts = docs.sparkSession.createDataFrame(rows, "_name string, _before long")
+    joined = placed.join(F.broadcast(starts), F.col("_file") == F.col("_name"))
+    return joined.select(*docs.columns, (F.col("_before") + F.col("_row")).alias("position"))
+
+
+__all__ = ["default_shares", "in_order", "mix", "period", "phases", "windows", "written_order"]

@@ -7,7 +7,9 @@ against the lower bound, and keeps improved packings as incumbents. The plan is
 sequence) with multiplicities; pieces take their places by their rank within their length.
 
 Defined results: a null or empty text is one piece that holds the end token. Repeated rows (or doc_ids) are packed
-once each. An empty table packs into nothing. Extra columns are not carried; the result has its own columns.
+once each. An empty table packs into nothing. Extra columns are not carried; the result has its own columns. With a
+`position` (from 0, without gaps but for ties), pieces of a length take their places in that order, and sequences are
+numbered by the position of their longest piece; sequence ids have no gaps either way.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, slices, text_or_empty
+from .common import materialize, ranked, ranked_in_order, slices, text_or_empty
 from .tokencount import encoder
 
 CAPACITY = 1024
@@ -155,7 +157,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     return incumbent
 
 
-def _pieces(capacity: int, keep_ids: bool):  # noqa: ANN202
+def _pieces(capacity: int, keep_ids: bool, carried: list[str]):  # noqa: ANN202
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier stages in this worker no longer use
         enc, end = encoder(), np.array([END_ID], dtype="<u4").tobytes()
@@ -174,6 +176,8 @@ def _pieces(capacity: int, keep_ids: bool):  # noqa: ANN202
                             rows[k].append(v)
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 columns = [part.column("doc_id").take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc"))]
+                for name in carried:
+                    names, columns = [*names, name], [*columns, part.column(name).take(pa.array(rows["row"], pa.int64()))]
                 if keep_ids:
                     flat = np.frombuffer(b"".join(rows["ids"]), dtype="<u4").astype(np.int64)
                     ends = np.concatenate([[0], np.cumsum(rows["length"])]).astype(np.int32)
@@ -184,10 +188,12 @@ def _pieces(capacity: int, keep_ids: bool):  # noqa: ANN202
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, the position if docs has one and, if asked for, the ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return docs.select("doc_id", text_or_empty(text).alias("_text")).mapInArrow(_pieces(capacity, keep_ids), schema)
+    carried = ["position"] if "position" in docs.columns else []
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", position long" * len(carried) + ", ids array<long>" * keep_ids
+    rows = docs.select("doc_id", *[F.col(c).cast("long").alias(c) for c in carried], text_or_empty(text).alias("_text"))
+    return rows.mapInArrow(_pieces(capacity, keep_ids, carried), schema)
 
 
 def place_table(plan: list[Pattern]) -> dict[str, np.ndarray]:
@@ -228,10 +234,23 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = place_table(complete(counts, capacity, nodes))
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    with_rank = ranked(pieces, "length", order, sum(counts.values()), "_rank").select(*pieces.columns, F.col("_rank").cast("long"))
+    if "position" in pieces.columns:
+        with_rank = ranked_in_order(pieces, "length", "position", order, sum(counts.values()), "_rank")
+    else:
+        with_rank = ranked(pieces, "length", order, sum(counts.values()), "_rank")
+    with_rank = with_rank.select(*pieces.columns, F.col("_rank").cast("long"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return with_rank.mapInArrow(_place(places), f"{fields}, sequence_id long, offset long")
 
 
+def number_in_order(packed: DataFrame) -> DataFrame:
+    """packed (materialised) with sequences numbered from 0 by the position of their first, longest piece."""
+    heads = packed.where("offset = 0").select(F.lit(0).alias("_one"), F.col("sequence_id").alias("_old"), "position")
+    numbered = ranked_in_order(heads, "_one", "position", ["_old"], heads.count(), "_new").select("_old", F.col("_new").cast("long"))
+    joined = packed.join(numbered, F.col("sequence_id") == F.col("_old"))
+    return joined.select(*[F.col("_new").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns if c != "position"])
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack_pieces(materialize(cut_pieces(docs, capacity), "pieces"), capacity)
+    packed = pack_pieces(materialize(cut_pieces(docs, capacity), "pieces"), capacity)
+    return number_in_order(materialize(packed, "packed")) if "position" in docs.columns else packed
