@@ -72,7 +72,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
     while done < 2 * T:
         rounds = np.arange(done, min(2 * T, done + max(1, 3 * T // n)))
         h = mix(items[None, :] + _ROUND[rounds][:, None])
-        key = (rounds.astype(np.uint64)[:, None] << np.uint64(56)) | (h >> np.uint64(8))
+        key = (rounds.astype(np.uint64)[:, None] << np.uint64(55)) | (h >> np.uint64(9))  # 9 bits hold the rounds
         bins = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(T)) >> np.uint64(32)
         late = rounds >= T
         if late.any():

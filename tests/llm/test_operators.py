@@ -243,6 +243,15 @@ def test_minhash_matches_brute_force(docs, empty, rows):
     assert minhash.link(empty, 3, 85).count() == 0
 
 
+def test_near_copies_of_few_shingles_share_a_band():
+    rng = np.random.default_rng(7)
+    for n in range(4, 9):
+        for _ in range(1000):
+            x = np.sort(rng.integers(0, 1 << 63, n + 1, dtype=np.uint64))
+            a, b = (minhash.sketch(s)[: minhash.BANDS * minhash.ROWS].reshape(minhash.BANDS, -1) for s in (x[:n], x))
+            assert (a == b).all(axis=1).any(), n
+
+
 def test_parity_refutes_no_link():
     rng = np.random.default_rng(3)
     for n in (1, 2, 15, 150, 900, 5000):
