@@ -424,16 +424,21 @@ def cer_best_prompt(t):  # noqa: ANN001, ANN201
     return best.select("conv_id", "turn", F.round("m.cer", 6).alias("cer"), "m.item_id")
 
 
+def with_prompts(t) -> DataFrame:  # noqa: ANN001
+    """Each turn of a conversation with every prompt of its task."""
+    c, b = t("conversations").withColumn("k", F.col("conv_id") % 8), t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", F.col("text").alias("prompt"))
+    return c.join(b, "k")
+
+
 @query()
 def word_levenshtein(t):  # noqa: ANN001, ANN201
-    c, b = t("conversations").withColumn("k", F.col("conv_id") % 8), t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", F.col("text").alias("prompt"))
-    return c.join(b.where("item_id < 8"), "k").select("conv_id", "turn", letters.word_levenshtein("text", "prompt").alias("distance"))
+    return with_prompts(t).select("conv_id", "turn", "item_id", letters.word_levenshtein("text", "prompt").alias("distance"))
 
 
 @query()
 def letter_errors(t):  # noqa: ANN001, ANN201
-    c, b = t("conversations").withColumn("k", F.col("conv_id") % 8), t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", F.col("text").alias("prompt"))
-    return c.join(b.where("item_id < 8"), "k").select("conv_id", "turn", letters.letter_error_counts("prompt", "text").alias("e")).select("conv_id", "turn", "e.*")
+    e = with_prompts(t).select("conv_id", "turn", "item_id", letters.letter_error_counts("prompt", "text").alias("e"))
+    return e.select("conv_id", "turn", "item_id", "e.*")
 
 
 _LONG = "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) "

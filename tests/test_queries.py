@@ -39,6 +39,18 @@ def test_query(spark, duck, name):
             assert ((a[k].astype(str) == b[k].astype(str)) | (a[k].isna() & b[k].isna())).all(), k
 
 
+def test_turns_meet_every_prompt_of_their_task(spark, tmp_path):
+    turns = [(0, 0, "the red hen"), (8, 1, "é à la carte"), (1, 0, ""), (9, 0, None)]
+    prompts = [(0, "the red hen"), (8, "the hen red"), (16, "à la carte"), (1, "one"), (17, "two words")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(prompts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = {(c, n, i): (p, x or "") for c, n, x in turns for i, p in prompts if c % 8 == i % 8}
+    out = QUERIES["word_levenshtein"](spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["turn"], r["item_id"]): r["distance"] for r in out} == {k: letters.word_distance(x.split(), p.split()) for k, (p, x) in pairs.items()} and len(out) == len(pairs)
+    out = QUERIES["letter_errors"](spark, str(tmp_path)).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == {k: letters.letter_errors(*v) for k, v in pairs.items()} and len(out) == len(pairs)
+
+
 def test_late_minus_early(spark):
     rows = [(1, i, v) for i, v in enumerate([1.0, 4.0])] + [(2, i, v) for i, v in enumerate([1.0, 9.0, 4.0])] + [(3, i, v) for i, v in enumerate([1.0, 2.0, 3.0, 10.0])] + [(4, 0, 7.0), (5, 0, None)]
     out = ordered.page_profile(spark.createDataFrame(rows, "k int, i int, v double"), "k", "v", ["i"]).collect()
