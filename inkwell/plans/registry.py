@@ -525,11 +525,11 @@ def stacking(t):  # noqa: ANN001, ANN201
 
 @query()
 def bootstrap_ci(t):  # noqa: ANN001, ANN201
-    return models.bootstrap_auroc(scored(t).where("model = 'P'"), "o_orderkey", "score", "label", 50)
+    return models.bootstrap_auroc(scored(t), "model", "o_orderkey", "score", "label")
 
 
 @query()
 def paired_bootstrap(t):  # noqa: ANN001, ANN201
-    return models.paired_bootstrap(scored(t).where("model = 'P'"), "o_orderkey", "score", "score2", "label", 50)
+    return models.paired_bootstrap(scored(t), "model", "o_orderkey", "score", "score2", "label")
 
 

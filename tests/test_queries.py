@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from inkwell.functions import letters, text
-from inkwell.operators import ordered, robust
+from inkwell.operators import models, ordered, robust
 from inkwell.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +51,18 @@ def test_turns_meet_every_prompt_of_their_task(spark, tmp_path):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == {k: letters.letter_errors(*v) for k, v in pairs.items()} and len(out) == len(pairs)
 
 
+def test_bootstraps_take_all_models(spark):
+    kinds = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderstatus").distinct().collect()}
+    ci = QUERIES["bootstrap_ci"](spark, SF).collect()
+    assert {r["model"] for r in ci} == kinds and len(ci) == len(kinds) and all(r["low"] < r["mid"] < r["high"] for r in ci)
+    paired = QUERIES["paired_bootstrap"](spark, SF).collect()
+    assert {r["model"] for r in paired} == kinds and all(r["low"] <= r["delta"] <= r["high"] for r in paired)
+    # one positive of three cases: resampled within classes, no replicate lacks it
+    few = spark.createDataFrame([("m", 1, 0.5, 0.9, 1), ("m", 2, 0.1, 0.2, 0), ("m", 3, 0.7, 0.4, 0)], "model string, k long, a double, b double, y int")
+    assert models.replicate_aurocs(few, "model", "k", ["a", "b"], "y", 120, True).count() == 120
+    assert models.replicate_aurocs(few, "model", "k", ["a"], "y", 120, False).count() < 120
+
+
 def test_late_minus_early(spark):
     rows = [(1, i, v) for i, v in enumerate([1.0, 4.0])] + [(2, i, v) for i, v in enumerate([1.0, 9.0, 4.0])] + [(3, i, v) for i, v in enumerate([1.0, 2.0, 3.0, 10.0])] + [(4, 0, 7.0), (5, 0, None)]
     out = ordered.page_profile(spark.createDataFrame(rows, "k int, i int, v double"), "k", "v", ["i"]).collect()
