@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,13 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset (tests on one
-    machine) a temporary folder is made and kept for the session."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a session on one machine
+    (tests) gets a temporary folder that goes at its end; on a cluster that would be a folder of each machine's own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
         got = getattr(spark.sparkContext, "_inkwell_dir", None)
         if got is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             got = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
+            atexit.register(shutil.rmtree, got.removeprefix("file://"), ignore_errors=True)
             spark.sparkContext._inkwell_dir = got
     return got.rstrip("/")
 
@@ -37,11 +42,11 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/inkwell/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,12 @@
 parses the stored file, expands code words by lookup tables, decodes ADPCM blocks in step across all blocks of a
 batch, and resamples to 16 kHz by a half-band filter.
 
+The file is stored (`store_media`, Parquet in the shared folder) and read back; what comes out holds the resampled PCM.
+
 Defined results: a null or empty text is one block of 255s. Equal texts give equal files and features. A null media
-value decodes to nulls. Extra columns pass through. Tables of any size stream in slices of a few MB; one long text
-is a slice of its own.
+value decodes to nulls. Extra columns pass through, but for those with the names that the operator makes (`media`, or
+OWN), which it replaces. Tables of any size stream in slices of half a MB; one long text is a slice of its own, whose
+samples are handled CHUNK at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_or_empty
+from .common import materialize, slices, text_or_empty
 
 BLOCK = 576
 RATE, TARGET_RATE = 8000, 16000
 MULAW, ALAW, ADPCM = "mulaw", "alaw", "adpcm"
 CODECS = (MULAW, ALAW, ADPCM)
+#: Bytes of stored files in a slice; samples that arithmetic wider than 16 bits is done on at once.
+SLICE_BYTES, CHUNK = 1 << 19, 1 << 20
+#: Columns that decoding makes.
+OWN = ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm16k")
 
 # WAVE format tags of the three codecs.
 FORMAT_TAG = {MULAW: 7, ALAW: 6, ADPCM: 17}
@@ -136,9 +143,29 @@ def upsample(pcm: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def measure(pcm: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peak, energy and sign changes of each signal, and all signals at twice the rate. Signals longer than CHUNK are
+    taken in runs of samples with their neighbours, with the same result."""
+    if len(pcm) <= CHUNK or len(starts) > 1:
+        wide = pcm.astype(np.int64)
+        flips = np.zeros(len(pcm), dtype=np.int64)
+        flips[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
+        flips[starts] = 0
+        return np.maximum.reduceat(np.abs(wide), starts), np.add.reduceat(wide * wide, starts), np.add.reduceat(flips, starts), upsample(pcm, starts)
+    peak = energy = crossings = 0
+    out = np.empty(2 * len(pcm), dtype=np.int16)
+    for a in range(0, len(pcm), CHUNK):
+        b, low, high = min(len(pcm), a + CHUNK), max(0, a - 1), min(len(pcm), a + CHUNK + 2)
+        wide = pcm[a:b].astype(np.int64)
+        peak, energy = max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum())
+        crossings += int(np.count_nonzero(np.diff(pcm[low:b] < 0)))
+        out[2 * a : 2 * b] = upsample(pcm[low:high], np.zeros(1, dtype=np.int64))[2 * (a - low) : 2 * (b - low)]
+    return np.array([peak]), np.array([energy]), np.array([crossings]), out
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", SLICE_BYTES):
             media = []
             for t in part.column("_text").to_pylist():
                 payload = padded((t or "").encode())
@@ -158,64 +185,57 @@ def _decoded(media: list[bytes | None]) -> list[tuple | None]:
         sizes = np.array([len(read[i][1]) for i in at])
         data = np.frombuffer(b"".join(read[i][1] for i in at), dtype=np.uint8)
         if codec == ADPCM:
-            pcm = decode_adpcm(data.reshape(-1, BLOCK)).reshape(-1)
+            codes = data.reshape(-1, BLOCK)
+            run = CHUNK // (2 * BLOCK)
+            pcm = np.concatenate([decode_adpcm(codes[k : k + run]).reshape(-1) for k in range(0, len(codes), run)])
             sizes = sizes // BLOCK * (1 + 2 * BLOCK)
         else:
             pcm = _TABLES[codec][data]
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        wide = pcm.astype(np.int64)
-        energy, peak = np.add.reduceat(wide * wide, starts), np.maximum.reduceat(np.abs(wide), starts)
-        flips = np.zeros(len(pcm), dtype=np.int64)
-        flips[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
-        flips[starts] = 0
-        crossings = np.add.reduceat(flips, starts)
-        wideband = upsample(pcm, starts)
+        peak, energy, crossings, wideband = measure(pcm, starts)
         for k, i in enumerate(at):
             a, n = starts[k], sizes[k]
             out[i] = (read[i][1], codec, int(n), int(peak[k]), int(energy[k]), int(crossings[k]), wideband[2 * a : 2 * (a + n)].tobytes())
     return out
 
 
-def _decoder(keep_pcm: bool):  # noqa: ANN202
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "media", 4 << 20):
-                made = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm16k")}
-                for got in _decoded(part.column("media").to_pylist()):
-                    if got is None:
-                        for v in made.values():
-                            v.append(None)
-                        continue
+    kinds = dict(zip(OWN, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True))
+    for batch in batches:
+        for part in slices(batch, "media", SLICE_BYTES):
+            made: dict[str, list] = {k: [] for k in OWN}
+            for got in _decoded(part.column("media").to_pylist()):
+                if got is None:
+                    row = [None] * len(OWN)
+                else:
                     payload, codec, n, peak, energy, crossings, pcm = got
-                    made["payload_bytes"].append(len(payload))
-                    made["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                    made["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                    made["feature"].append(f"{codec};samples={n};peak={peak};energy={energy};crossings={crossings};pcm{TARGET_RATE}_crc32={zlib.crc32(pcm)}")
-                    made["pcm16k"].append(pcm if keep_pcm else None)
-                kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string(), "pcm16k": pa.binary()}
-                more = {k: pa.array(v, kinds[k]) for k, v in made.items() if keep_pcm or k != "pcm16k"}
-                rest = [c for c in part.schema.names if c != "media"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *more.values()], [*rest, *more])
-
-    return decode
+                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), f"{codec};samples={n};peak={peak};energy={energy};crossings={crossings}", pcm]
+                for k, v in zip(OWN, row, strict=True):
+                    made[k].append(v)
+            rest = [c for c in part.schema.names if c != "media"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(v, kinds[k]) for k, v in made.items())], [*rest, *made])
 
 
 def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `text` replaced by `media`, the stored WAVE file of its padded bytes."""
-    df = docs.withColumn("_text", text_or_empty(text)).drop(text)
-    rest = [f for f in df.schema.fields if f.name != "_text"]
+    """docs with `text` replaced by `media`, the WAVE file of its padded bytes."""
+    rest = [f for f in docs.schema.fields if f.name not in (text, "media", "_text")]
+    df = docs.select(*[F.col(f"`{f.name}`") for f in rest], text_or_empty(text).alias("_text"))
     return df.mapInArrow(_encode, T.StructType([*rest, T.StructField("media", T.BinaryType())]))
 
 
-def decode_media(stored: DataFrame, keep_pcm: bool = False) -> DataFrame:
-    """stored with `media` replaced by payload_bytes, payload_sha256, tail_crc32, feature and, if asked for, the
-    resampled 16 kHz PCM samples (`pcm16k`, little-endian 16-bit)."""
-    rest = [f for f in stored.schema.fields if f.name != "media"]
-    made = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("feature", T.StringType())]
-    made += [("pcm16k", T.BinaryType())] * keep_pcm
-    return stored.mapInArrow(_decoder(keep_pcm), T.StructType([*rest, *(T.StructField(n, t) for n, t in made)]))
+def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
+    """encode_media, written to the shared folder and read back."""
+    return materialize(encode_media(docs, text), "media", {"parquet.block.size": str(16 << 20)})
+
+
+def decode_media(stored: DataFrame) -> DataFrame:
+    """stored with `media` replaced by OWN: payload_bytes, payload_sha256, tail_crc32, feature and the resampled 16 kHz
+    PCM samples (`pcm16k`, little-endian 16-bit)."""
+    rest = [f for f in stored.schema.fields if f.name not in ("media", *OWN)]
+    made = zip(OWN, (T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.BinaryType()), strict=True)
+    return stored.select(*[F.col(f"`{f.name}`") for f in rest], "media").mapInArrow(_decode, T.StructType([*rest, *(T.StructField(n, t) for n, t in made)]))
 
 
 def media_digest(media: Column) -> Column:

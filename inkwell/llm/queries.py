@@ -13,8 +13,9 @@ from .common import table, text_or_empty
 
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"))
-    stored = media.encode_media(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": media.media_digest(F.col("media"))})
-    return media.decode_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = media.store_media(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": media.media_digest(F.col("media"))})
+    feature = F.concat("feature", F.lit(f";pcm{media.TARGET_RATE}_crc32="), F.crc32("pcm16k").cast("string"))
+    return media.decode_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.octet_length("pcm16k").cast("long").alias("pcm_bytes"))
 
 
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.count_tokens(docs, tokencount.new_cache(spark))
+    cache = spark.conf.get("spark.inkwell.tokenCache", None) or tokencount.new_cache(spark)
+    counted = tokencount.count_tokens(docs, cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
