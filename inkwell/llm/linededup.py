@@ -5,8 +5,8 @@ dropped everywhere but in the largest doc_id that holds them; the rest is reasse
 
 Defined results: a null or empty text is one empty line and stays as it is. A doc_id that occurs in several rows is
 one document for the count, and each row loses its own lines. A row with a null doc_id has its lines counted under no
-document and loses every line that is dropped elsewhere. Extra columns pass through; names beginning with `_` are
-reserved. An empty table gives an empty result.
+document and loses every line that is dropped elsewhere. Extra columns pass through; `n_lines` and `n_dropped` of the
+input are replaced, and names beginning with `_` are reserved. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty
+from .common import SPACES, materialize, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Keys with at least one of so many of the lines of frequent keys are hot: there are at most as many of them.
+HOT = 1000
 
 
 def ascii_lower(line: Column) -> Column:
@@ -37,23 +39,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs with `text` rewritten, n_lines (before dropping) and n_dropped.
 
     Only (doc_id, position, hash) of long lines are exploded and shuffled; per-hash counts are pre-aggregated, so a
-    line of every document costs one row per map task. The texts are shuffled once, by row, when the dropped
-    positions return to them."""
-    keyed = docs.withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("h")))
+    line of every document costs one row per map task. The frequent keys are a written table, which Spark broadcasts
+    while it is small; beyond that the lines of a hot key are dealt over salts in proportion to their number. The texts
+    are shuffled once, by row, when the dropped positions return to them."""
+    keyed = docs.drop("n_lines", "n_dropped").withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("h")))
     lines = (
         keyed.select("_row", F.posexplode(line_hashes(text_or_empty(text), min_chars)).alias("_pos", "_key"))
         .where(F.col("_key").isNotNull())
     )
-    frequent = (
-        lines.select("_key", F.col("_row.id").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-        .groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
-        .where(F.col("_n") >= min_docs).select("_key", "_last")
-    )
+    held = lines.select("_key", F.col("_row.id").alias("_id")).where(F.col("_id").isNotNull()).groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_k"))
+    frequent = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"), F.sum("_k").alias("_k"))
+    frequent = materialize(frequent.where(F.col("_n") >= min_docs).select("_key", "_last", "_k"), "frequent")
+    whole = max(1, int(frequent.agg(F.sum("_k")).first()[0] or 0))
+    # n keys of at least whole / HOT lines each have n <= HOT: the broadcast is of HOT short rows at most
+    salts = F.ceil(F.col("_k") * HOT / F.lit(whole)).cast("int")
+    hot = frequent.where(F.col("_k") * HOT >= whole).select("_key", salts.alias("_salts"))
+    dealt = lines.join(F.broadcast(hot), "_key", "left").withColumn("_salt", F.pmod(F.xxhash64("_row", "_pos"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    spread = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_k") * HOT >= whole, salts).otherwise(1) - 1)))
     drops = (
-        lines.join(frequent, "_key")
+        dealt.join(spread.select("_key", "_salt", "_last"), ["_key", "_salt"])
         .where(~F.col("_row.id").eqNullSafe(F.col("_last")))
-        .select("_row", "_pos").distinct()
-        .groupBy("_row").agg(F.collect_list("_pos").alias("_drop"))
+        .groupBy("_row").agg(F.collect_set("_pos").alias("_drop"))
     )
     drops = drops.select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "_drop")
     parts = keyed.withColumn("_lines", F.split(text_or_empty(text), "\n")).drop(text)
@@ -62,14 +68,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     rebuilt = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
     )
-    out = joined.select(
-        *[c for c in joined.columns if c not in ("_lines", "_drop")],
+    order = [c for c in keyed.columns if c not in (text, "_row")]
+    return joined.select(
+        *order,
         rebuilt.alias(text),
         F.size("_lines").cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
     )
-    order = [c for c in docs.columns if c != text]
-    return out.select(*order, text, "n_lines", "n_dropped")
 
 
 def digest(deduped: DataFrame) -> DataFrame:
