@@ -2,9 +2,11 @@
 
 A document's key is the SHA-256 of its content (null as empty; nothing that could change a count is normalised
 away) with that of the tokenizer's file. Counts are joined from a cache table; only one document of each missing
-digest is encoded, and its count is appended to the cache.
+digest is encoded, and its count is appended to the cache. A query that is to share counts with others names its cache
+in spark.inkwell.tokenCache; else it starts with an empty one.
 
-Defined results: a null or empty text has 0 tokens. Repeated rows get the same count each. Extra columns stay out of
+Defined results: a null or empty text has 0 tokens. Repeated rows get the same count each, also where the cache holds a
+digest more than once. A null doc_id is a key like any other. Extra columns stay out of
 the way: the operator's own columns begin with `_` until the end. An empty table gives an empty result and appends
 nothing.
 """
@@ -202,7 +204,8 @@ def count_tokens(docs: DataFrame, cache_path: str, text: str = "text", doc_id: s
     fetched = texts.join(misses, (texts["_key"] == misses["_key"]) & (texts["_digest"] == misses["_want"])).select("_digest", "_text")
     counted = fetched.mapInArrow(_count, "_digest binary, _count long").dropDuplicates(["_digest"])
     counted.select(F.col("_digest").alias("content_digest"), F.lit(version).alias("tokenizer_digest"), F.col("_count").alias("n_tokens")).write.mode("append").parquet(cache_path)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("_digest"), F.col("n_tokens").alias("_count"))
+    # two runs at once, or one that was retried, may have appended a digest twice
+    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).groupBy(F.col("content_digest").alias("_digest")).agg(F.max("n_tokens").alias("_count"))
     rows = keyed.withColumn("_n_bytes", F.octet_length("_text").cast("long")).drop("_text")
     out = rows.join(known, "_digest", "left")
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
