@@ -7,8 +7,8 @@ source stays within one block of its target at every slot. When a source runs ou
 shares of a smaller total and a new phase begins, until all blocks are placed: nothing is dropped or repeated.
 
 Defined results: a null source is a source of its own. A source without a target share gets share 1. Rows with equal
-ids are ordered by their text. A source's last block may be short. Extra columns pass through; an empty table gives an
-empty result.
+ids are ordered by their text. A source's last block may be short. Extra columns pass through; columns of the input with
+the names that the operator makes (MADE) are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import ranked
 #: Documents in a block; total of the shares that default_shares deals out; sources that a schedule may have (its
 #: tables on the driver and in a broadcast have at most a few numbers for each source, phase and slot of a period).
 BLOCK, TOTAL, MAX_SOURCES = 16, 1000, 2000
+#: Columns that mix makes.
+MADE = ("block", "slot", "release", "deadline", "position")
 #: Power of the source's size that its default target is proportional to.
 TEMPER = 0.7
 
@@ -109,6 +111,7 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block: int
 
     Ranks in a source are made over salts, so a hot source is many tasks; the schedule that goes out is bounded by
     MAX_SOURCES and the total of the shares, not by the documents."""
+    docs = docs.drop(*MADE)
     named = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
     counts = named.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
