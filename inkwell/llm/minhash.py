@@ -7,13 +7,15 @@ of ROWS coordinates give candidates (a pair at a similarity of 0.85 is missed wi
 3e-6), and candidates are confirmed on full shingle sets.
 
 Groups never become all their pairs. Equal sets are one class. In each bucket of a band, members are compared with
-HUBS hubs, and confirmed links join components. Then the pairs of a bucket that lie in different components and have
+HUBS hubs, and confirmed links join components; where a bucket still holds many members of different components, it is
+compared with hubs of those. Then the pairs of a bucket that lie in different components and have
 near enough sketches, sizes and parities are confirmed, each in the first band that both share, so every link that joins two
 components is tested.
 
 Defined results: a text without words has an empty set and links with nothing. A text with fewer words than a shingle
-is one shingle, its whole sequence. Repeated rows get the same result each; rows with a null doc_id are not linked and
-have a null component. An empty table gives an empty result; extra columns are not read.
+is one shingle, its whole sequence. Repeated rows get the same result each; rows of one doc_id with different texts
+are linked each by its own text, and each gets the component of that; rows with a null doc_id are not linked and have a
+null component. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from .common import materialize, mix, slices, text_or_empty, word_hashes
 T, BANDS, ROWS = 256, 24, 4
 #: Hubs of a bucket; ids up to which the rows with them are picked out by a broadcast (16 MB) and beyond by a shuffle.
 HUBS, BROADCAST_IDS = 3, 1_000_000
+#: Turns of hubs at most, and pairs across components for each member of a bucket from which another turn is tried; what
+#: is left after them is compared in full.
+TURNS, MANY = 6, 32
 #: Cells of a set's parity: two sets differ in at least as many shingles as in cells.
 CELLS = 1024
 _ROUND = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -90,13 +95,18 @@ def parity(items: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((items >> np.uint64(54)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def class_id(items: np.ndarray) -> int:
+    """64 bits of a set's digest."""
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _sketches(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 sets = shingle_sets([t.encode() for t in part.column("_text").to_pylist()], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                digests: list = [None] * len(sets)
+                reps: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
                 odd: list = [None] * len(sets)
@@ -106,11 +116,11 @@ def _sketches(k: int):  # noqa: ANN202
                         banded = mix((mix(rows)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _POSITION[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                     packed = np.packbits((mix(rows + np.uint64(5)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                     for j, i in enumerate(full):
-                        digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        reps[i] = class_id(sets[i])
                         bands[i], bits[i], odd[i] = banded[j], packed[j], parity(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "digest", "bands", "bits", "odd"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(reps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "rep", "bands", "bits", "odd"],
                 )
 
     return run
@@ -121,7 +131,8 @@ def _full_sets(k: int):  # noqa: ANN202
         for batch in batches:
             for part in slices(batch, "_text"):
                 sets = shingle_sets([t.encode() for t in part.column("_text").to_pylist()], k)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
+                sets = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
 
     return run
 
@@ -196,39 +207,72 @@ def _first_shared() -> Column:
     return ~F.exists(F.zip_with(earlier("x"), earlier("y"), lambda p, q: p == q), lambda e: e)
 
 
+def _spokes(members: DataFrame, turn: int) -> DataFrame:
+    """The pairs (a, b) of a bucket's members (key, rep, comp) with HUBS members of its components, drawn by this turn."""
+    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("comp", F.lit(turn * HUBS + i)).alias("h"), "rep", "comp")).alias(f"h{i}") for i in range(HUBS)])
+    each = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.rep").alias("hub"), F.col(f"h{i}.comp").alias("to")) for i in range(HUBS)])))
+    met = members.join(hubs, "key").select("rep", "comp", each.alias("_h")).where("rep != _h.hub AND comp != _h.to")
+    return met.select(F.least("rep", "_h.hub").alias("a"), F.greatest("rep", "_h.hub").alias("b")).distinct()
+
+
+def _meet(active: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of active's rows (key, rep, comp, info) that share a bucket, lie in different components and have
+    near sizes, sketches and parities, each once."""
+    x, y = active.alias("x"), active.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+    return x.join(y, across & _near(percent, "x.info", "y.info") & _first_shared()).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+    """doc_id, n_shingles, component_id, kept.
+
+    Classes of equal sets are told apart by 64 bits of their digests (`rep`), not by document, so rows of one doc_id
+    with different texts keep links of their own."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    all_ = materialize(rows.mapInArrow(_sketches(k), "doc_id long, n long, digest binary, bands array<long>, bits array<long>, odd array<long>"), "sketches")
-    classes = materialize(all_.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = all_.join(classes.select("rep", F.col("digest").alias("_own")), (all_["doc_id"] == F.col("rep")) & (all_["digest"] == F.col("_own"))).dropDuplicates(["rep"])
-    heads = materialize(heads.select("rep", "n", "bits", "odd", "bands"), "heads")
+    all_ = materialize(rows.mapInArrow(_sketches(k), "doc_id long, n long, rep long, bands array<long>, bits array<long>, odd array<long>"), "sketches")
+    linked = all_.where("rep IS NOT NULL AND doc_id IS NOT NULL")
+    classes = materialize(linked.groupBy("rep").agg(F.min("doc_id").alias("least")), "classes")
+    heads = linked.join(classes.withColumnRenamed("rep", "_rep"), (linked["doc_id"] == F.col("least")) & (linked["rep"] == F.col("_rep"))).dropDuplicates(["rep"])
+    heads = materialize(heads.select("rep", "least", "n", "bits", "odd", "bands"), "heads")
     keys = heads.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     buckets = materialize(keys.join(crowded, "key", "left_semi"), "buckets")
     ids = materialize(buckets.select(F.col("rep").alias("id")).distinct(), "ids")
     known = materialize(_of(heads.withColumnRenamed("rep", "id"), ids), "members")
-    sets = materialize(_of(rows.select(F.col("doc_id").alias("id"), "_text"), ids).mapInArrow(_full_sets(k), "id long, items binary").dropDuplicates(["id"]), "sets")
-
-    hubs = buckets.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)])
-    spokes = buckets.join(hubs, "key").select("rep", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    x = spokes.join(known.select(F.col("id").alias("a"), F.struct("n", "bits", "odd").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("n", "bits", "odd").alias("y")), "b")
-    tested = materialize(x.where(_near(percent, "x", "y")).select("a", "b"), "pairs")
-    edges = materialize(_verified(tested, sets, percent), "edges")
-    labels = components(edges)
-
-    info = known.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias("rep"), F.coalesce("comp", "id").alias("comp"), F.struct("n", "bits", "odd", "bands").alias("info"))
-    now = buckets.join(info, "rep")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select(F.col("key").alias("mixed"))
-    active = materialize(now.join(mixed, F.col("key") == F.col("mixed"), "left_semi"), "active")
-    x, y = active.alias("x"), active.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, across & _near(percent, "x.info", "y.info") & _first_shared()).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = materialize(_verified(materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent), "edges")
+    # one text of each class in a bucket: the least doc_id with it; texts of that id with another set are told apart by set
+    wanted = known.select(F.col("least").alias("doc_id")).distinct()
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    sets = _of(texts.select("_text").mapInArrow(_full_sets(k), "id long, items binary"), ids)
+    sets = materialize(sets.dropDuplicates(["id"]), "sets")
+
+    facts = lambda side, name: known.select(F.col("id").alias(side), F.struct("n", "bits", "odd").alias(name))
+    light, edges, tested, before = buckets.withColumn("comp", F.col("rep")), None, None, math.inf
+    for turn in range(TURNS):
+        near = _spokes(light, turn).join(facts("a", "x"), "a").join(facts("b", "y"), "b").where(_near(percent, "x", "y")).select("a", "b")
+        new = materialize(near if tested is None else near.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = new if tested is None else tested.unionByName(new)
+        found = materialize(_verified(new, sets, percent), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        labels = components(edges)
+        named = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
+        light = materialize(named.join(mixed, "key", "left_semi"), "active")
+        parts = light.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = parts.agg(F.sum(F.col("s").cast("double") * F.col("s") - F.col("q")).alias("pairs"), F.sum("s").alias("rows")).first()
+        # more hubs pay while buckets hold many more pairs across components than members, and hubs still join them
+        if (left["pairs"] or 0) <= MANY * (left["rows"] or 0) or left["pairs"] > 0.7 * before:
+            break
+        before = left["pairs"]
+
+    info = known.select(F.col("id").alias("rep"), F.struct("n", "bits", "odd", "bands").alias("info"))
+    active = materialize(light.join(info, "rep"), "active")
+    pairs = materialize(_meet(active, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_verified(pairs, sets, percent), "edges")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
-    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("comp", "rep").alias("_comp"))
-    out = all_.select("doc_id", "n", "digest").join(named, "digest", "left")
+    placed = classes.join(labels, classes["rep"] == labels["id"], "left").select("rep", "least", F.coalesce("comp", "rep").alias("comp"))
+    named = placed.groupBy("comp").agg(F.min("least").alias("_comp")).join(placed.select("rep", "comp"), "comp").select("rep", "_comp")
+    out = all_.select("doc_id", "n", "rep").join(named, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
