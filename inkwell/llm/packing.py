@@ -2,8 +2,8 @@
 
 Pieces are counted by length: the packing problem is the histogram of at most `capacity` lengths, whatever the number
 of documents. The solver works on that histogram: best-fit decreasing gives the incumbent; a branch-and-bound over bin
-completions enumerates undominated fillings around the largest remaining length, prunes by the waste they leave
-against the lower bound, and keeps improved packings as incumbents. The plan is a list of patterns (lengths in a
+completions enumerates the undominated fillings around the largest remaining length, prunes by the waste they leave and
+by the lower bound of what is left, and keeps improved packings as incumbents. The plan is a list of patterns (lengths in a
 sequence) with multiplicities; pieces take their places by their rank within their length.
 
 Defined results: a null or empty text is one piece that holds the end token. Repeated rows (or doc_ids) are packed
@@ -28,11 +28,9 @@ from .tokencount import encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Nodes that the branch-and-bound may open, whatever the number of documents (some seconds on the driver); the
-#: incumbent stands when they are used up. Best fit is tried on what is left at every so many levels.
-NODES, TRY_EVERY = 1_000, 8
-#: Lengths in a completion besides the largest, and completions tried at a node.
-WIDTH, BRANCHES = 3, 4
+#: Nodes that the branch-and-bound opens after its first descent, whatever the number of documents; the incumbent
+#: stands when they are used up. Best fit is tried on what is left at every so many levels.
+NODES, STEPS, TRY_EVERY = 1_000, 1_000, 8
 
 
 @dataclass(frozen=True)
@@ -45,14 +43,14 @@ class Pattern:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: pieces too long to share a sequence, and what must be added for the rest."""
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for k in sorted({0, *(s for s in counts if 2 * s <= capacity)}):
-        big = sum(n for s, n in counts.items() if s > capacity - k)
-        mid = {s: n for s, n in counts.items() if capacity - k >= s and 2 * s > capacity}
-        low = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
-        room = sum((capacity - s) * n for s, n in mid.items())
-        best = max(best, big + sum(mid.values()) + max(0, -(-(low - room) // capacity)))
-    return best
+    n = np.bincount(list(counts), weights=list(counts.values()), minlength=capacity + 1).astype(np.int64) if counts else np.zeros(capacity + 1, dtype=np.int64)
+    upto, filled = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))  # pieces of at most a length, and their sum
+    half = capacity // 2
+    k = np.arange(half + 1)
+    big, mid = upto[-1] - upto[capacity - k], upto[capacity - k] - upto[half]
+    room = capacity * mid - (filled[capacity - k] - filled[half])
+    low = filled[half] - np.where(k > 0, filled[k - 1], 0)
+    return int((big + mid + np.maximum(0, -((room - low) // capacity))).max())
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -86,74 +84,142 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for group in open_.values() for p in group]
 
 
-def completions(counts: dict[int, int], largest: int, capacity: int, width: int = WIDTH, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of at most `width` pieces beside the largest, least waste first. A filling is dominated
-    if another of as many pieces or fewer replaces a piece by a longer one that fits."""
-    room, sizes = capacity - largest, sorted((s for s, n in counts.items() if n), reverse=True)
-    have = lambda s: counts.get(s, 0) - (s == largest)
-    found: dict[int, tuple[int, ...]] = {0: ()}  # filled length -> the fewest, longest pieces
-
-    def add(filled: int, pieces: tuple[int, ...]) -> None:
-        old = found.get(filled)
-        if old is None or (len(pieces), [-x for x in pieces]) < (len(old), [-x for x in old]):
-            found[filled] = pieces
-
-    frontier: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    for _ in range(width):
-        following = []
-        for filled, pieces in frontier:
-            fits = [s for s in sizes if s <= room - filled and (not pieces or s <= pieces[-1]) and have(s) > pieces.count(s)]
-            for s in fits[:24]:
-                add(filled + s, (*pieces, s))
-                following.append((filled + s, (*pieces, s)))
-        frontier = sorted(following, reverse=True)[:200]
-    best = sorted(found.items(), key=lambda x: (-x[0], len(x[1])))
-    return [pieces for _, pieces in best[:most]]
+def _sums(sizes: list[int], most: list[int], room: int) -> list[int]:
+    """For each i the sums up to `room` that sizes[i:] can make, as bits: the i-th size up to most[i] times."""
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for size, n in zip(reversed(sizes), reversed(most), strict=True):
+        bits, step = reach[-1], 1
+        while n:  # powers of two, then the rest, make every number of turns
+            step = min(step, n)
+            bits |= bits << (step * size)
+            bits &= mask
+            n -= step
+            step *= 2
+        reach.append(bits)
+    return reach[::-1]
+
+
+def fillings(counts: dict[int, int], largest: int, capacity: int, steps: list[int] | None = None) -> Iterator[list[int]]:
+    """The undominated fillings around a largest piece: what lies beside it, least waste first, then longest pieces
+    first. They are made as they are asked for: the sums that lengths can make lead the search, and no width or number
+    is fixed. A filling is dominated, and left out with all that extend it, if one more piece fits, or if a piece that
+    is left can replace one or two shorter ones of it. `steps[0]` is what the search may still take, if given; the
+    first filling comes in any case."""
+    room = capacity - largest
+    sizes = sorted((s for s, n in counts.items() if n > (s == largest) and s <= room), reverse=True)
+    if not sizes:
+        yield []
+        return
+    most = [min(counts[s] - (s == largest), room // s) for s in sizes]
+    have = dict(zip(sizes, most, strict=True))
+    reach, bits = _sums(sizes, most, room), sum(1 << s for s in sizes)
+    steps = [1 << 60] if steps is None else steps
+    none_yet = True
+
+    def left_over(low: int, high: int, held: dict[int, int]) -> bool:
+        """A piece of a length from low to high is not in the filling."""
+        some = (bits >> low) & ((1 << (high - low + 1)) - 1) if high >= low else 0
+        while some:
+            p = low + (some & -some).bit_length() - 1
+            if have[p] > held.get(p, 0):
+                return True
+            some &= some - 1
+        return False
+
+    def dominated(size: int, n: int, held: dict[int, int], spare: int) -> bool:
+        if spare and left_over(size + 1, size + spare, held):
+            return True
+        return (n > 1 and left_over(2 * size, 2 * size + spare, held)) or any(left_over(x + size, x + size + spare, held) for x in held if x != size)
+
+    for total in range(room, -1, -1):
+        if not reach[0] >> total & 1:
+            continue
+        spare = room - total
+        stack: list[tuple[int, int, dict[int, int]]] = [(0, total, {})]
+        while stack:
+            i, left, held = stack.pop()
+            steps[0] -= 1
+            if steps[0] < 0:
+                break
+            if not left:
+                if not left_over(1, spare, held):
+                    none_yet = False
+                    yield [s for s, n in held.items() for _ in range(n)]
+                continue
+            # sizes that are too long are passed over at once; fewer turns of a size are tried after more
+            while sizes[i] > left:
+                i += 1
+            for n in range(min(most[i], left // sizes[i]) + 1):
+                rest = left - n * sizes[i]
+                if rest and not (i + 1 < len(sizes) and reach[i + 1] >> rest & 1):
+                    continue
+                now = held | {sizes[i]: n} if n else held
+                if not n or not dominated(sizes[i], n, now, spare):
+                    stack.append((i + 1, rest, now))
+        if steps[0] < 0:
+            break
+    if none_yet:  # the fullest, longest pieces first
+        left, out = reach[0].bit_length() - 1, []
+        for i, size in enumerate(sizes):
+            n = next(n for n in range(min(most[i], left // size), -1, -1) if reach[i + 1] >> (left - n * size) & 1)
+            out, left = out + [size] * n, left - n * size
+        yield out
 
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """The fewest sequences that best fit and bin completion find for a histogram of lengths."""
+    """The fewest sequences that best fit and bin completion find for a histogram of lengths.
+
+    Depth first: a node takes the largest piece left and its undominated fillings in turn, first as often as the
+    pieces allow, then once. It is left when the waste so far, or the bound of what is left, costs as much as the
+    incumbent. The first descent always runs to its end; the search for fillings takes STEPS steps for each node, and
+    after the descent `nodes` nodes are opened, then the incumbent stands."""
     counts = {s: n for s, n in counts.items() if n}
     incumbent = best_fit_decreasing(counts, capacity)
     best, bound = sum(p.times for p in incumbent), lower_bound(counts, capacity)
-    if best <= bound:
-        return incumbent
-    waste_allowed = lambda used: (used * capacity) - sum(s * n for s, n in counts.items())
-    budget = [nodes]
-
-    def descend(left: dict[int, int], made: list[Pattern], used: int, waste: int, depth: int) -> None:
-        nonlocal incumbent, best
-        if best <= bound or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        if not left:
-            if used < best:
-                incumbent, best = list(made), used
-            return
-        if depth % TRY_EVERY == 1:
-            rest = best_fit_decreasing(left, capacity)
-            if (total := used + sum(p.times for p in rest)) < best:
-                incumbent, best = [*made, *rest], total
+    total, ended = sum(s * n for s, n in counts.items()), False
+
+    def branches(left: dict[int, int]) -> Iterator[tuple[dict[int, int], int]]:
         largest = max(left)
-        for pieces in completions(left, largest, capacity):
-            parts = {s: (largest, *pieces).count(s) for s in (largest, *pieces)}
-            times = min(left[s] // n for s, n in parts.items())
-            if not times:
-                continue
-            spilt = waste + times * (capacity - largest - sum(pieces))
-            if spilt > waste_allowed(best - 1):
-                continue  # this waste alone costs as much as the incumbent
-            after = {s: n - times * parts.get(s, 0) for s, n in left.items() if n > times * parts.get(s, 0)}
-            descend(after, [*made, Pattern(tuple(parts.items()), times)], used + times, spilt, depth + 1)
-
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
-    try:
-        descend(counts, [], 0, 0, 0)
-    finally:
-        sys.setrecursionlimit(limit)
+        for pieces in fillings(left, largest, capacity, [STEPS]):
+            held = {s: pieces.count(s) + (s == largest) for s in {largest, *pieces}}
+            times = min(left[s] // n for s, n in held.items())
+            for t in sorted({times, 1}, reverse=True):
+                yield dict(sorted(held.items(), reverse=True)), t
+
+    made: list[Pattern] = []
+    stack = [(counts, 0, 0, branches(counts))] if counts else []
+    opened = 0
+    while stack and best > bound and not (ended and opened >= nodes):
+        left, used, waste, ways = stack[-1]
+        del made[len(stack) - 1 :]
+        way = next(ways, None)
+        if way is None:
+            stack.pop()
+            continue
+        held, times = way
+        spilt = waste + times * (capacity - sum(s * n for s, n in held.items()))
+        if used + times >= best or spilt > (best - 1) * capacity - total:
+            ended = True
+            if times == 1:
+                stack.pop()  # fillings waste ever more
+            continue
+        after = {s: n - times * held.get(s, 0) for s, n in left.items() if n > times * held.get(s, 0)}
+        opened += ended
+        made.append(Pattern(tuple(held.items()), times))
+        now = used + times
+        if not after:
+            incumbent, best, ended = list(made), now, True
+            made.pop()
+            continue
+        if now + lower_bound(after, capacity) >= best:
+            ended = True
+            made.pop()
+            continue
+        if len(stack) % TRY_EVERY == 0:
+            rest = best_fit_decreasing(after, capacity)
+            if (whole := now + sum(p.times for p in rest)) < best:
+                incumbent, best = [*made, *rest], whole
+        stack.append((after, now, spilt, branches(after)))
     return incumbent
 
 
