@@ -3,7 +3,8 @@
 Five transducers read a clause as a string of token classes and rewrite it: negation marks insults and threats in its
 scope, reported speech marks what follows a verb of saying, target marks insults near an addressee, threat marks
 threats that reach a target, and the last one weighs the marks. They are composed into one machine, which runs over
-the clauses that hold a lexicon entry; a document's score comes from the marks of its clauses, not from single words.
+the clauses that hold a lexicon entry. A clause's weight is the machine's, for its marks, times that of its heaviest
+entry; a document's score comes from the number and the weights of its matched clauses and from their marks.
 
 The insult lexicon is a weighted set of words and word beginnings, learned from labelled rows: at most TRAIN_ROWS of
 them (those of least hash), never a row whose crc32 of doc_id as text leaves 2 on division by 4. Scoring reads the
@@ -16,6 +17,7 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -28,22 +30,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, text_or_empty
 
-#: Bounds of the fit: labelled rows, lexicon candidates (by how many toxic documents hold them), lexicon entries.
-TRAIN_ROWS, CANDIDATES, ENTRIES = 200_000, 50_000, 5_000
+#: Labelled rows that the lexicon is learned from; patterns that MIN_TOXIC_DOCS of the toxic ones hold reach the driver.
+TRAIN_ROWS = 200_000
 #: Rows that the weights of the marks are fitted on.
 FIT_ROWS = 20_000
 MIN_TOXIC_DOCS, MIN_PRECISION, MIN_WEIGHT = 4, 0.6, 2.0
+#: Lexicon weight of the words of threats, which are not learned.
+THREAT_WEIGHT = 2.0
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 
-# Seed words of the classes.
+#: Seed words of the classes; insults are learned besides them.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumb jerk idiota imbécil dummkopf abschaum crétin ordure".split()
 THREATS = "kill hurt destroy smash stab shoot burn töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
 TARGETS = "you your yours u he him his she her they them their du dich dir dein ihr euch tu toi vous te tú usted ustedes vosotros".split()
 NEGATIONS = "not never isn't aren't wasn't don't nobody nicht kein keine niemals jamais aucun nunca jamás".split()
 REPORTS = "said says told wrote claimed called reported quoted sagte schrieb behauptete affirme écrit dijo escribió afirmó".split()
 
-CLAUSE_END = ".!?;:,\n"
+_CLAUSE_END = re.compile("[.!?;:,\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -143,25 +147,34 @@ class Scorer:
         """Class and lexicon weight of a lower-case word."""
         kinds, sizes = self._setup()[1], self._setup()[3]
         w = max([self.words.get(word, 0.0), *(self.beginnings.get(word[:k], 0.0) for k in sizes)])
-        return ("I", w) if w > 0 else (kinds.get(word, "O"), 0.0)
+        kind = "I" if w > 0 else kinds.get(word, "O")
+        return kind, w or THREAT_WEIGHT * (kind == "H")
 
-    def features(self, text: str) -> list[float]:
+    def clauses(self, text: str) -> Iterator[tuple[str, float]]:
+        """The marks and the weight of each clause that holds a lexicon entry."""
         found, _, machine, _ = self._setup()
         low = text.lower()
-        marks, heaviest, total, until = Counter(), 0.0, 0.0, -1
+        ends = [m.start() for m in _CLAUSE_END.finditer(low)]
+        until = -1
         for end, size in found.iter(low):
             at = end - size + 1
             if at < until or (at and low[at - 1].isalpha()):
                 continue
-            begin = 1 + max(low.rfind(c, 0, at) for c in CLAUSE_END)
-            until = min((k for c in CLAUSE_END if (k := low.find(c, at)) >= 0), default=len(low))
+            k = bisect.bisect_left(ends, at)
+            begin, until = 1 + ends[k - 1] if k else 0, ends[k] if k < len(ends) else len(low)
             tokens = [self.token(w) for w in _WORD.findall(low, begin, until)]
             out, weight = machine.run(c for c, _ in tokens)
-            lexical = max((w for _, w in tokens), default=0.0)
+            lexical = max((w for c, w in tokens if c in "IH"), default=0.0)
+            if lexical:
+                yield out, weight * lexical
+
+    def features(self, text: str) -> list[float]:
+        marks, heaviest, total, n = Counter(), 0.0, 0.0, 0
+        for out, weight in self.clauses(text):
             marks.update(out)
-            heaviest, total = max(heaviest, lexical), total + weight * lexical
+            heaviest, total, n = max(heaviest, weight), total + weight, n + 1
         log = math.log1p
-        return [1.0, log(marks["I"] + marks["A"]), log(marks["A"]), log(marks["n"]), log(marks["q"]), log(marks["K"]), heaviest / 4, log(total) - 0.5 * log(len(low) / 2000)]
+        return [1.0, log(n), log(marks["A"]), log(marks["n"]), log(marks["q"]), log(marks["K"]), heaviest / 4, log(total) - 0.5 * log(len(text) / 2000)]
 
     def score(self, text: str) -> float:
         z = sum(a * b for a, b in zip(self.coef, self.features(text), strict=True))
@@ -244,12 +257,12 @@ def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tuple
             words[stem] = max(w, words.get(stem, 0.0))
         else:
             beginnings[stem] = w
-    top = lambda d: dict(sorted(d.items(), key=lambda kv: (-kv[1], kv[0]))[:ENTRIES])
-    return top({k: v for k, v in words.items() if v > 0}), top(beginnings)
+    return {k: v for k, v in words.items() if v > 0}, beginnings
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Learn lexicon and mark weights. What reaches the driver: CANDIDATES patterns with counts, FIT_ROWS short rows."""
+    """Learn lexicon and mark weights. What reaches the driver: the patterns of TRAIN_ROWS rows at most
+    that MIN_TOXIC_DOCS toxic ones hold, with counts, and FIT_ROWS short rows."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     train = labels.where(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = materialize(train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "labels")
@@ -259,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     schema = "pattern string, n long"
     text = rows.where("toxic > 0").select("_text")
     held = text.mapInArrow(_count_patterns(None), schema).groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC_DOCS)
-    positive = {r["pattern"]: int(r["n"]) for r in held.orderBy(F.desc("n"), "pattern").limit(CANDIDATES).collect()}
+    positive = {r["pattern"]: int(r["n"]) for r in held.collect()}
     counts: dict[str, tuple[int, int]] = {}
     if positive:
         against = rows.where("toxic <= 0").select("_text").mapInArrow(_count_patterns(frozenset(positive)), schema)
