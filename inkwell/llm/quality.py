@@ -2,16 +2,20 @@
 functions only.
 
 For every (lang, source) a minimum-covariance-determinant estimate of five transformed text statistics is made by
-concentration steps from two deterministic starts; rows are rejected by their Mahalanobis distance from it. A
-concentration step is one pass: each row goes into a bin of its distance, and a bin keeps counts, sums and products,
-so the half (here three quarters) of a group with the least distances is read off a few hundred pre-aggregated rows
-per group, however large the group. Covariances get a floor (`FLOORS`), since clean text has statistics that do not
-vary at all (no symbols, no repeated lines), where a plain determinant is zero.
+concentration steps from two deterministic starts (the classical one, and medians with interquartile ranges), until the
+determinants stand still; rows are rejected by their Mahalanobis distance from it. A concentration step is one pass:
+each row goes into a bin of its distance, and a bin keeps counts, sums and products, so the half (here three quarters)
+of a group with the least distances is read off a few hundred pre-aggregated rows per group, however large the group.
+Covariances get a floor (`FLOORS`), since clean text has statistics that do not vary at all (no symbols, no repeated
+lines), where a plain determinant is zero.
+
+Every group is judged by an estimate of its own, whatever its size: the moments of its concentrated rows are joined by
+PRIOR rows' worth of those of its language's estimate, so a large group stands alone, a group of one row nearly takes
+its language's estimate, and nothing switches in between.
 
 Defined results: a null or empty text has zeros and fails the base rules. Null lang or source are values of their own.
-Groups of fewer than MIN_ROWS rows that pass the base rules are pooled by language, and pools that are still smaller
-reject nothing. Repeated rows count as often as they occur. Extra columns are not carried. An empty table gives an
-empty result.
+A language with few rows rests on those and the floors. Repeated rows count as often as they occur. Extra columns are
+not carried. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ NAMES = ("x1", "x2", "x3", "x4", "x5")
 #: Standard deviations that are added to the estimated ones: log words, log word length, roots of the symbol, repeated
 #: line and repeated word shares.
 FLOORS = (0.30, 0.06, 0.06, 0.10, 0.15)
-#: Share of a group that the estimate rests on, concentration steps, and distance bins of a sixteenth of an octave.
-SUPPORT, STEPS, BINS = 0.75, 5, 640
-MIN_ROWS = 200
+#: Share of a group that the estimate rests on, concentration steps at most, and distance bins of a sixteenth of an octave.
+SUPPORT, STEPS, BINS = 0.75, 10, 640
+#: Change of all log determinants below which the steps end; rows of its language that each group's estimate is joined by.
+STILL, PRIOR = 1e-3, 50.0
 #: Median of the chi-square law with 5 degrees of freedom, to which each group's distances are scaled, and the
-#: squared distance above which a row is rejected (its tail there is below 1e-9: text is not Gaussian).
+#: squared distance above which a row is rejected: the law's 1 - 8e-16 quantile, set on labelled quality, as text is not
+#: Gaussian.
 CHI2_MEDIAN, REJECT = 4.3515, 80.0
 #: Estimates are broadcast up to this many groups (about 300 bytes each), and joined by shuffle beyond it.
 BROADCAST_GROUPS = 20_000
@@ -132,13 +138,18 @@ def _inverse(flat: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.concat(flat, F.array(F.lit(0.0))), sweep)
 
 
-def _whitened(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """From n, s1..s5 and q11..q55: means, inverse of the floored covariance, and its log determinant."""
-    p = range(1, 6)
-    mean = [F.col(f"s{i}") / F.col("n") for i in p]
-    flat = F.array(*[F.col(f"q{max(i, j)}{min(i, j)}") / F.col("n") - mean[i - 1] * mean[j - 1] + (FLOORS[i - 1] ** 2 if i == j else 0.0) for i in p for j in p])
-    df = moments.select(*keys, *[m.alias(f"m{i}") for i, m in zip(p, mean, strict=True)], _inverse(flat).alias("_inv"))
-    return df.select(*keys, F.get("_inv", F.lit(25)).alias("log_det"), *[f"m{i}" for i in p], *[(-F.get("_inv", F.lit(5 * i + j - 6))).alias(f"p{i}{j}") for i in p for j in range(1, i + 1)])
+def _whitened(moments: DataFrame, keys: list[str], prior: DataFrame | None) -> DataFrame:
+    """From n, s1..s5 and q11..q55, joined by the prior's: means, inverse of the floored covariance, its log determinant,
+    and the moments of the group's own rows."""
+    p, own = range(1, 6), moments.select(*keys, *_sums())
+    if prior is None:
+        df = own.select("*", *[F.col(c).alias(f"_{c}") for c in _sums()])
+    else:
+        df = own.join(prior, "_group").select(*keys, *_sums(), *[(F.col(c) + PRIOR * F.col(f"_mean_{c}")).alias(f"_{c}") for c in _sums()])
+    mean = [F.col(f"_s{i}") / F.col("_n") for i in p]
+    flat = F.array(*[F.col(f"_q{max(i, j)}{min(i, j)}") / F.col("_n") - mean[i - 1] * mean[j - 1] + (FLOORS[i - 1] ** 2 if i == j else 0.0) for i in p for j in p])
+    df = df.select(*keys, *_sums(), *[m.alias(f"m{i}") for i, m in zip(p, mean, strict=True)], _inverse(flat).alias("_inv"))
+    return df.select(*keys, *_sums(), F.get("_inv", F.lit(25)).alias("log_det"), *[f"m{i}" for i in p], *[(-F.get("_inv", F.lit(5 * i + j - 6))).alias(f"p{i}{j}") for i in p for j in range(1, i + 1)])
 
 
 def squared_distance() -> Column:
@@ -170,6 +181,7 @@ def _robust_start(rows: DataFrame) -> DataFrame:
     """Medians and interquartile ranges of each statistic from counts on a fixed grid, as moments of one row."""
     p = range(1, 6)
     grid = [FLOORS[i - 1] / 8 for i in p]
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
     cells = rows.select("_group", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(f"x{i}") / grid[i - 1]).cast("long").alias("b")) for i in p])).alias("c")).groupBy("_group", "c.f", "c.b").agg(F.count(F.lit(1)).alias("k"))
     run = Window.partitionBy("_group", "f").orderBy("b")
     shares = cells.withColumn("share", F.sum("k").over(run) / F.sum("k").over(Window.partitionBy("_group", "f")))
@@ -177,48 +189,59 @@ def _robust_start(rows: DataFrame) -> DataFrame:
     step = F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("f"))
     quart = quart.select("_group", "f", ((F.col("mid") + 0.5) * step).alias("m"), ((F.col("hi") - F.col("lo") + 1) * step / 1.349).alias("sd"))
     wide = quart.groupBy("_group").agg(*[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"s{i}") for i in p], *[F.max(F.when(F.col("f") == i, F.col("sd"))).alias(f"d{i}") for i in p])
-    q = [(F.col(f"s{i}") * F.col(f"s{j}") + (F.col(f"d{i}") ** 2 if i == j else 0.0)).alias(f"q{i}{j}") for i in p for j in range(1, i + 1)]
-    return wide.select("_group", F.lit(1).alias("start"), F.lit(1).cast("long").alias("n"), *[f"s{i}" for i in p], *q)
+    q = [(F.col("n") * (F.col(f"s{i}") * F.col(f"s{j}") + (F.col(f"d{i}") ** 2 if i == j else 0.0))).alias(f"q{i}{j}") for i in p for j in range(1, i + 1)]
+    return wide.join(sizes, "_group").select("_group", F.lit(1).alias("start"), "n", *[(F.col("n") * F.col(f"s{i}")).alias(f"s{i}") for i in p], *q)
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The next estimates: moments of the bins that hold the SUPPORT of a group with the least distances."""
-    bins = rows.join(estimates, "_group").withColumn("_bin", _bin(squared_distance())).groupBy("_group", "start", "_bin").agg(*_moments())
+    """Moments of the bins that hold the SUPPORT of a group with the least distances."""
+    bins = rows.join(estimates.drop(*_sums()), "_group").withColumn("_bin", _bin(squared_distance())).groupBy("_group", "start", "_bin").agg(*_moments())
     part = Window.partitionBy("_group", "start")
     before = F.coalesce(F.sum("n").over(part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = bins.withColumn("_before", before).withColumn("_all", F.sum("n").over(part)).where(F.col("_before") < SUPPORT * F.col("_all"))
-    return _whitened(inner.groupBy("_group", "start").agg(*[F.sum(c).alias(c) for c in _sums()]), ["_group", "start"])
+    return inner.groupBy("_group", "start").agg(*[F.sum(c).alias(c) for c in _sums()])
 
 
-def mcd_estimates(rows: DataFrame) -> DataFrame:
+def mcd_estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Per _group the estimate of least determinant, with `scale`, its median squared distance over the law's. rows:
-    _group and x1..x5, materialised."""
+    _group and x1..x5, materialised. prior: per _group the moments (`_mean_n` = 1, `_mean_s1` ...) of a row of the wider
+    group it is joined by, and the wider group's `_scale`."""
+    keys = ["_group", "start"]
     classical = rows.groupBy("_group").agg(*_moments()).select("_group", F.lit(0).alias("start"), *_sums())
-    now = _small(_whitened(classical.unionByName(_robust_start(rows)), ["_group", "start"]), "mcd")
+    now = _small(_whitened(classical.unionByName(_robust_start(rows)), keys, prior), "mcd")
     for k in range(STEPS):
-        after = _concentrate(rows, now)
+        after = _whitened(_concentrate(rows, now), keys, prior)
         if k == 1:  # both starts have had two steps: go on with the better
             best = Window.partitionBy("_group").orderBy("log_det", "start")
             after = after.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
-        now = _small(after, "mcd")
-    bins = rows.join(now, "_group").groupBy("_group", _bin(squared_distance()).alias("_bin")).agg(F.count(F.lit(1)).alias("k"))
+        after = _small(after, "mcd")
+        moved = after.select(*keys, F.col("log_det").alias("_det")).join(now.select(*keys, "log_det"), keys).agg(F.max(F.abs(F.col("_det") - F.col("log_det")))).first()[0]
+        now = after
+        if k > 1 and (moved or 0.0) < STILL:
+            break
+    bins = rows.join(now.drop(*_sums()), "_group").groupBy("_group", _bin(squared_distance()).alias("_bin")).agg(F.count(F.lit(1)).alias("k"))
     run, part = Window.partitionBy("_group").orderBy("_bin"), Window.partitionBy("_group")
-    half = bins.withColumn("_share", F.sum("k").over(run) / F.sum("k").over(part)).where("_share >= 0.5").groupBy("_group").agg(F.min("_bin").alias("_bin"))
-    scales = half.select("_group", (F.greatest(F.pow(F.lit(2.0), (F.col("_bin") + 1) / 16) - 1, F.lit(1e-9)) / CHI2_MEDIAN).alias("scale"))
+    shares = bins.withColumn("_share", F.sum("k").over(run) / F.sum("k").over(part)).withColumn("_k", F.sum("k").over(part))
+    half = shares.where("_share >= 0.5").groupBy("_group").agg(F.min("_bin").alias("_bin"), F.max("_k").alias("_k"))
+    own = F.greatest(F.pow(F.lit(2.0), (F.col("_bin") + 1) / 16) - 1, F.lit(1e-9)) / CHI2_MEDIAN
+    if prior is None:
+        scales = half.select("_group", own.alias("scale"))
+    else:
+        scales = half.join(prior.select("_group", "_scale"), "_group").select("_group", ((F.col("_k") * own + PRIOR * F.col("_scale")) / (F.col("_k") + PRIOR)).alias("scale"))
     return _small(now.join(scales, "_group"), "mcd")
 
 
-def judge(docs: DataFrame, reject: float = REJECT, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
-    stats = text_statistics(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("\u0000")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("_source"), "text"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    stats = text_statistics(docs.select("doc_id", named("lang").alias("_lang"), named("source").alias("_source"), "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialize(stats.withColumns({**transformed(), "base_failed": failed}), "statistics")
-    sizes = _small(stats.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_rows")), "groups")
-    pooled = F.when(F.col("_rows") >= min_rows, F.struct("_lang", "_source")).otherwise(F.struct(F.col("_lang"), F.lit(None).cast("string").alias("_source")))
-    named = stats.join(sizes, ["_lang", "_source"], "left").withColumn("_group", F.to_json(F.when(F.col("_rows").isNull(), F.struct(F.col("_lang"), F.lit(None).cast("string").alias("_source"))).otherwise(pooled)))
-    rows = materialize(named.where("NOT base_failed").select("_group", *NAMES), "vectors")
-    enough = _small(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_rows).select("_group"), "groups")
-    estimates = mcd_estimates(rows.join(enough, "_group", "left_semi"))
-    judged = named.join(estimates, "_group", "left").withColumn("distance", squared_distance() / F.col("scale"))
+    stats = materialize(stats.withColumns({**transformed(), "base_failed": failed}), "statistics").withColumn("_group", F.to_json(F.struct("_lang", "_source")))
+    rows = materialize(stats.where("NOT base_failed").select("_lang", "_group", *NAMES), "vectors")
+    wide = mcd_estimates(rows.select(F.col("_lang").alias("_group"), *NAMES))
+    of = _small(rows.select("_lang", "_group").distinct(), "groups")
+    shares = wide.select(F.col("_group").alias("_lang"), F.col("scale").alias("_scale"), *[(F.col(c) / F.col("n")).alias(f"_mean_{c}") for c in _sums()])
+    estimates = mcd_estimates(rows.select("_group", *NAMES), _small(of.join(shares, "_lang").drop("_lang"), "prior"))
+    judged = stats.join(estimates.drop(*_sums()), "_group", "left").withColumn("distance", squared_distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= reject, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("distance"))
