@@ -11,7 +11,7 @@ from inkwell.session import local_session
 
 HEADLINE = [
     "student_page_profile", "robust_z_cells", "tool_calibration", "sample_weights", "word_gaps", "gap_islands", "conf_slope", "midrank_fusion",
-    "auroc", "average_precision", "sens_at_spec", "threshold_search", "alpha_sweep", "spearman_matrix", "clean_text", "vector_pool", "balanced_folds",
+    "auroc", "average_precision", "sens_at_spec", "threshold_search", "alpha_sweep", "spearman_matrix", "clean_text", "vector_pool", "balanced_folds", "logistic_oof", "nested_cv", "forest_oof",
 ]
 
 

@@ -19,7 +19,7 @@ def script_of(t: Column) -> Column:
 
 
 def words(t: Column) -> Column:
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
 
 def cer(text: Column, prompt: Column) -> Column:
@@ -52,3 +52,53 @@ def task_group(name: Column) -> Column:
 def first_object(t: Column) -> Column:
     """From the first opening to the last closing brace."""
     return F.regexp_extract(t, r"(?s)\{.*\}", 0)
+
+
+#: White space by name, which engines agree on.
+SPACE = r"[ \t\n\r\f\x0B]"
+
+
+def cleaned(t: Column, lower: bool = True) -> Column:
+    """Letters, marks, digits, underscores and white space stay, one space between words."""
+    kept = F.regexp_replace(F.lower(t) if lower else t, r"[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]", "")
+    return F.trim(F.regexp_replace(kept, f"{SPACE}+", " "))
+
+
+def plain_words(t: Column) -> Column:
+    return F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
+
+
+def sentence_marks(t: Column) -> tuple[Column, Column]:
+    """Whether the first letter is not a capital, and whether the last character is no full stop."""
+    s = F.trim(t)
+    return (~F.substring(s, 1, 1).rlike("^[A-Z]")).cast("int"), (~F.coalesce(s.endswith("."), F.lit(False))).cast("int")
+
+
+def merged_words(t: Column, prompt: Column) -> Column:
+    """Words of t that are two neighbours of the prompt written as one."""
+    w, p = plain_words(F.lower(t)), plain_words(F.lower(prompt))
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return F.size(F.filter(w, lambda x: F.array_contains(pairs, x) & ~F.array_contains(p, x)))
+
+
+def logit(p: Column, eps: float = 1e-6) -> Column:
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    return F.log(q / (1 - q))
+
+
+def sigmoid(x: Column, limit: float = 30.0) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-limit), F.least(F.lit(limit), x))))
+
+
+def x_height(heights: Column, box: Column, lines: Column) -> Column:
+    """Median of the heights above 5, else 0.45 of a line's share of the box, at least 15."""
+    tall = F.array_sort(F.filter(heights, lambda h: h > 5))
+    n = F.size(tall)
+    middle = (F.get(tall, F.floor((n - 1) / 2).cast("int")) + F.get(tall, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle).otherwise(F.greatest(F.lit(15.0), box / F.greatest(lines, F.lit(1)) * 0.45))
+
+
+def guarded(value: Column, scale: Column, least: float) -> Column:
+    """value over scale where scale is above `least`, else 0."""
+    return F.when(scale > least, value / scale).otherwise(0.0)

@@ -6,29 +6,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that a group's cells are cut into for running sums, each a task's work.
+RANGES = 64
+
+
+def running(cells: DataFrame, parts: list[str], value: str, sums: list[str]) -> DataFrame:
+    """cells (one row for each of parts and value) with, for each name in sums, `{name}_below` (its sum over smaller
+    values of the group) and `{name}_all` (over the whole group).
+
+    Values are cut into RANGES ranges by approximate quantiles of each group (which cuts decides nothing but the work of
+    a task), summed within a range, and shifted by the totals of the ranges before, so no group meets in one task."""
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = cells.groupBy(*parts).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
+    banded = cells.join(cuts, parts).withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = banded.groupBy(*parts, "_band").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before, whole = Window.partitionBy(*parts).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parts)
+    shift = totals.select(*parts, "_band", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_all") for s in sums])
+    within = Window.partitionBy(*parts, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = banded.withColumns({f"_w_{s}": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}).join(shift, [*parts, "_band"])
+    return out.select(*cells.columns, *[(F.col(f"_w_{s}") + F.col(f"_b_{s}")).alias(f"{s}_below") for s in sums], *[f"{s}_all" for s in sums])
+
+
 def midrank(df: DataFrame, value: str, parts: list[str], out: str = "midrank") -> DataFrame:
     """Average ranks. Values are counted first and ranked by running sums of the counts, so ties cost one row."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(out, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = running(counts, parts, value, ["_c"]).select(*parts, value, (F.col("_c_below") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, [*parts, value], "left")
 
 
 def roc_points(df: DataFrame, model: str, score: str, label: str) -> DataFrame:
-    """Per model and distinct score, from the highest: tp and fp at that threshold, and the totals p and n."""
-    at = df.groupBy(model, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_n"))
-    run = Window.partitionBy(model).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(model)
-    return at.select(model, score, F.col("_p").alias("dp"), F.col("_n").alias("dn"), F.sum("_p").over(run).alias("tp"), F.sum("_n").over(run).alias("fp"), F.sum("_p").over(whole).alias("p"), F.sum("_n").over(whole).alias("n"))
+    """Per model and distinct score: dp and dn, positives and others at it, tp and fp, those at or above it, and the
+    totals p and n."""
+    at = df.groupBy(model, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("dp"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("dn"))
+    r = running(at, [model], score, ["dp", "dn"])
+    return r.select(model, score, "dp", "dn", (F.col("dp_all") - F.col("dp_below")).alias("tp"), (F.col("dn_all") - F.col("dn_below")).alias("fp"), F.col("dp_all").alias("p"), F.col("dn_all").alias("n"))
 
 
 def auroc(df: DataFrame, model: str, score: str, label: str, single: float | None = 0.5) -> DataFrame:
     """Area under the ROC curve by trapezoids over distinct scores (ties count half)."""
-    r = roc_points(df, model, score, label)
+    return _area(roc_points(df, model, score, label), model, single)
+
+
+def _area(r: DataFrame, model: str, single: float | None = 0.5) -> DataFrame:
     area = F.sum(F.col("dn") * (F.col("tp") - F.col("dp") / 2))
     return r.groupBy(model).agg(F.when((F.max("p") > 0) & (F.max("n") > 0), area / (F.max("p") * F.max("n"))).otherwise(F.lit(single)).alias("auroc"))
 
 
+def alpha_sweep(df: DataFrame, a: str, b: str, label: str, steps: int = 20) -> DataFrame:
+    """alpha20, auroc of alpha a + (1 - alpha) b for alpha = 0, 1 / steps, ... 1. Cases are counted by both scores first,
+    so each step handles the distinct pairs, however many cases there are."""
+    pos = F.col(label) == 1
+    pairs = df.groupBy(a, b).agg(F.sum(F.when(pos, 1).otherwise(0)).alias("dp"), F.sum(F.when(pos, 0).otherwise(1)).alias("dn"))
+    alpha = F.col("alpha20") / float(steps)
+    blends = pairs.withColumn("alpha20", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("blend", F.round(alpha * F.col(a) + (1 - alpha) * F.col(b), 9))
+    at = blends.groupBy("alpha20", "blend").agg(F.sum("dp").alias("dp"), F.sum("dn").alias("dn"))
+    r = running(at, ["alpha20"], "blend", ["dp", "dn"])
+    return _area(r.select("alpha20", "dp", "dn", (F.col("dp_all") - F.col("dp_below")).alias("tp"), F.col("dp_all").alias("p"), F.col("dn_all").alias("n")), "alpha20")
+
+
 def average_precision(df: DataFrame, model: str, score: str, label: str) -> DataFrame:
     """Sum over thresholds of the recall step times the precision there."""
     r = roc_points(df, model, score, label)
@@ -87,9 +122,8 @@ def spearman(df: DataFrame, x: str, y: str, feature: str) -> DataFrame:
 def ks_statistic(df: DataFrame, feature: str, value: str, group: str) -> DataFrame:
     """Largest distance of the two groups' (0 and 1) distribution functions."""
     at = df.groupBy(feature, value).agg(F.sum((F.col(group) == 0).cast("int")).alias("_a"), F.sum((F.col(group) == 1).cast("int")).alias("_b"))
-    run, whole = Window.partitionBy(feature).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(feature)
-    d = at.withColumn("_d", F.abs(F.sum("_a").over(run) / F.sum("_a").over(whole) - F.sum("_b").over(run) / F.sum("_b").over(whole)))
-    return d.groupBy(feature).agg(F.max("_d").alias("ks_d"))
+    share = lambda c: (F.col(f"{c}_below") + F.col(c)) / F.col(f"{c}_all")
+    return running(at, [feature], value, ["_a", "_b"]).groupBy(feature).agg(F.max(F.abs(share("_a") - share("_b"))).alias("ks_d"))
 
 
 def mann_whitney(df: DataFrame, feature: str, value: str, group: str) -> DataFrame:
@@ -115,10 +149,6 @@ def ecdf(df: DataFrame, score: str, reference: DataFrame, ref_score: str) -> Dat
     ref = reference.groupBy(F.col(ref_score).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     asked = df.select(F.col(score).alias("_v")).distinct().withColumn("_c", F.lit(0).cast("long"))
     at = ref.unionByName(asked).groupBy("_v").agg(F.sum("_c").alias("_c"))
-    # a coarse total per range of values, then the running count within it, so no task holds all values
-    bands = at.withColumn("_band", F.floor(F.col("_v") / 100))
-    before = bands.groupBy("_band").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = ref.agg(F.sum("_c").alias("_total"))
-    run = F.sum("_c").over(Window.partitionBy("_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = bands.withColumn("_run", run).join(before.select("_band", "_before"), "_band").crossJoin(F.broadcast(total)).select(F.col("_v").alias(score), ((F.col("_run") + F.col("_before")) / F.col("_total")).alias("ecdf"))
+    ranks = running(at.withColumn("_g", F.lit(0)), ["_g"], "_v", ["_c"])
+    ranks = ranks.select(F.col("_v").alias(score), ((F.col("_c_below") + F.col("_c")) / F.col("_c_all")).alias("ecdf"))
     return df.join(ranks, score, "left")

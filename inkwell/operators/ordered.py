@@ -104,6 +104,6 @@ def tiles(df: DataFrame, width: str, stride: int) -> DataFrame:
 
 def stratified_head(df: DataFrame, group: str, label: str, order: list[str], n: int) -> DataFrame:
     """Up to n rows of a group: the first n // 3 positives, then negatives up to n."""
-    r = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group, label).orderBy(*order)))
+    r = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group, label).orderBy(*order))).where(F.col("_rn") <= n)
     pos = F.sum(F.when((F.col(label) == 1) & (F.col("_rn") <= n // 3), 1).otherwise(0)).over(Window.partitionBy(group))
     return r.withColumn("_pos", pos).where(F.when(F.col(label) == 1, F.col("_rn") <= n // 3).otherwise(F.col("_rn") <= n - F.col("_pos"))).drop("_rn", "_pos")

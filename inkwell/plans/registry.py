@@ -347,9 +347,7 @@ def threshold_search(t):  # noqa: ANN001, ANN201
 
 @query("WITH " + SCORED + ", s AS (SELECT k, label, round(k / 20.0 * score + (1 - k / 20.0) * score2, 9) AS b FROM scored CROSS JOIN range(0, 21) x(k)), r AS (SELECT k, label, rank() OVER (PARTITION BY k ORDER BY b) + (count(*) OVER (PARTITION BY k, b) - 1) / 2.0 AS r FROM s) SELECT k::INT AS alpha20, round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)::DOUBLE), 6) AS auroc FROM r GROUP BY 1")
 def alpha_sweep(t):  # noqa: ANN001, ANN201
-    s = scored(t).withColumn("alpha20", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    s = s.withColumn("blend", F.round(F.col("alpha20") / 20.0 * F.col("score") + (1 - F.col("alpha20") / 20.0) * F.col("score2"), 9))
-    return ev.auroc(s, "alpha20", "blend", "label").select("alpha20", *r6("auroc"))
+    return ev.alpha_sweep(scored(t), "score", "score2", "label").select("alpha20", *r6("auroc"))
 
 
 @query("WITH " + SCORED + " SELECT model, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, round(avg((score >= 0.5)::INT) FILTER (WHERE label = 1), 6) AS sensitivity, round(avg((score < 0.5)::INT) FILTER (WHERE label = 0), 6) AS specificity, round((avg((score >= 0.5)::INT) FILTER (WHERE label = 1) + avg((score < 0.5)::INT) FILTER (WHERE label = 0)) / 2, 6) AS balanced_accuracy, round(avg((score - label) ^ 2), 6) AS brier FROM scored GROUP BY 1")
@@ -389,12 +387,12 @@ def mannwhitney_u(t):  # noqa: ANN001, ANN201
     return ev.mann_whitney(melt(t).where("v IS NOT NULL"), "feature", "v", "grp").select("feature", *r6("u"))
 
 
-_ASCII = "SELECT doc_id, text FROM documents WHERE strlen(text) = length(text)"
+_SPACE = "[ \\t\\n\\r\\f\\x0B]"
 
 
-@query(f"WITH a AS ({_ASCII}) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS cleaned FROM a")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_ \\t\\n\\r\\f\\x0B]', '', 'g'), '" + _SPACE + "+', ' ', 'g'))) AS cleaned FROM documents")
 def clean_text(t):  # noqa: ANN001, ANN201
-    return t("documents").where(F.octet_length("text") == F.char_length("text")).select("doc_id", F.md5(text.clean_text(F.col("text")).cast("binary")).alias("cleaned"))
+    return t("documents").select("doc_id", F.md5(text.cleaned(F.col("text")).cast("binary")).alias("cleaned"))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS latin, CASE WHEN length(regexp_replace(text, '[^ऀ-ॿ]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'devanagari' ELSE 'latin' END AS script FROM documents")
@@ -402,26 +400,14 @@ def script_counts(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", F.char_length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("latin"), text.script_of(F.col("text")).alias("script"))
 
 
-@query(f"WITH a AS ({_ASCII}) SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(regexp_replace(x, '[^A-Za-z]', '', 'g'), '^.+[A-Z]')))::BIGINT AS mid_capitals, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '\\..')))::BIGINT AS inner_periods FROM a")
+@query(f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: regexp_matches(regexp_replace(x, '[^A-Za-z]', '', 'g'), '^.+[A-Z]')))::BIGINT AS mid_capitals, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: regexp_matches(x, '\\..')))::BIGINT AS inner_periods FROM documents")
 def midword_caps(t):  # noqa: ANN001, ANN201
-    a = t("documents").where(F.octet_length("text") == F.char_length("text"))
-    return a.select("doc_id", text.mid_word_capitals(F.col("text")).cast("long").alias("mid_capitals"), text.inner_periods(F.col("text")).cast("long").alias("inner_periods"))
+    return t("documents").select("doc_id", text.mid_word_capitals(F.col("text")).cast("long").alias("mid_capitals"), text.inner_periods(F.col("text")).cast("long").alias("inner_periods"))
 
 
-@query(f"WITH a AS ({_ASCII}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM a) SELECT doc_id, (SELECT count(*) FROM range(1, len(w)) x(i) WHERE w[i] = w[i + 1])::BIGINT AS duplicates FROM w")
+@query(f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, (SELECT count(*) FROM range(1, len(w)) x(i) WHERE w[i] = w[i + 1])::BIGINT AS duplicates FROM w")
 def adjacent_dups(t):  # noqa: ANN001, ANN201
-    a = t("documents").where(F.octet_length("text") == F.char_length("text"))
-    return a.select("doc_id", text.adjacent_duplicates(F.col("text")).cast("long").alias("duplicates"))
-
-
-@query("WITH c AS (SELECT c.conv_id, c.turn, b.item_id, substr(c.text, 1, 60) t, substr(b.text, 1, 60) p FROM conversations c JOIN benchmark b ON b.item_id % 8 = c.conv_id % 8 WHERE strlen(c.text) = length(c.text) AND strlen(b.text) = length(b.text)), s AS (SELECT conv_id, turn, item_id, levenshtein(t, p) / greatest(length(p), 1)::DOUBLE AS cer FROM c) SELECT conv_id, turn, round(min(cer), 6) AS cer, arg_min(item_id, {'a': cer, 'b': item_id}) AS item_id FROM s GROUP BY 1, 2")
-def cer_best_prompt(t):  # noqa: ANN001, ANN201
-    ascii_only = lambda df: df.where(F.octet_length("text") == F.char_length("text"))
-    c = ascii_only(t("conversations")).select("conv_id", "turn", F.substring("text", 1, 60).alias("t"), (F.col("conv_id") % 8).alias("task"))
-    b = ascii_only(t("benchmark")).select("item_id", F.substring("text", 1, 60).alias("p"), (F.col("item_id") % 8).alias("task"))
-    s = c.join(b, "task").select("conv_id", "turn", "item_id", text.cer(F.col("t"), F.col("p")).alias("cer"))
-    best = s.groupBy("conv_id", "turn").agg(F.min(F.struct("cer", "item_id")).alias("m"))
-    return best.select("conv_id", "turn", F.round("m.cer", 6).alias("cer"), "m.item_id")
+    return t("documents").select("doc_id", text.adjacent_duplicates(F.col("text")).cast("long").alias("duplicates"))
 
 
 def with_prompts(t) -> DataFrame:  # noqa: ANN001
@@ -430,6 +416,13 @@ def with_prompts(t) -> DataFrame:  # noqa: ANN001
     return c.join(b, "k")
 
 
+@query()
+def cer_best_prompt(t):  # noqa: ANN001, ANN201
+    s = with_prompts(t).select("conv_id", "turn", "item_id", text.cer(F.coalesce("text", F.lit("")), F.coalesce("prompt", F.lit(""))).alias("cer"))
+    best = s.groupBy("conv_id", "turn").agg(F.min(F.struct("cer", "item_id")).alias("m"))
+    return best.select("conv_id", "turn", F.round("m.cer", 6).alias("cer"), "m.item_id")
+
+
 @query()
 def word_levenshtein(t):  # noqa: ANN001, ANN201
     return with_prompts(t).select("conv_id", "turn", "item_id", letters.word_levenshtein("text", "prompt").alias("distance"))
@@ -533,3 +526,4 @@ def paired_bootstrap(t):  # noqa: ANN001, ANN201
     return models.paired_bootstrap(scored(t), "model", "o_orderkey", "score", "score2", "label")
 
 
+from inkwell.plans import tables  # noqa: E402, F401

@@ -47,6 +47,9 @@ def test_turns_meet_every_prompt_of_their_task(spark, tmp_path):
     pairs = {(c, n, i): (p, x or "") for c, n, x in turns for i, p in prompts if c % 8 == i % 8}
     out = QUERIES["word_levenshtein"](spark, str(tmp_path)).collect()
     assert {(r["conv_id"], r["turn"], r["item_id"]): r["distance"] for r in out} == {k: letters.word_distance(x.split(), p.split()) for k, (p, x) in pairs.items()} and len(out) == len(pairs)
+    cers = {k: letters.word_distance(list(x), list(p)) / max(len(p), 1) for k, (p, x) in pairs.items()}
+    best = {(c, n): min((round(v, 6), i) for (a, b, i), v in cers.items() if (a, b) == (c, n)) for c, n, _ in turns}
+    assert {(r["conv_id"], r["turn"]): (r["cer"], r["item_id"]) for r in QUERIES["cer_best_prompt"](spark, str(tmp_path)).collect()} == best
     out = QUERIES["letter_errors"](spark, str(tmp_path)).collect()
     assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == {k: letters.letter_errors(*v) for k, v in pairs.items()} and len(out) == len(pairs)
 
