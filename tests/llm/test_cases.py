@@ -1,6 +1,8 @@
 """Cases that every operator defines: scalar features, clashing names, nulls, repeats, hot keys, measured recall."""
 
 import collections
+import itertools
+import random
 import re
 import zlib
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import linededup, media, minhash, mixing, queries, tokencount
+from inkwell.llm import htmlwrap, linededup, lm, media, minhash, mixing, packing, quality, queries, tokencount
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -182,3 +184,196 @@ def test_recall_of_near_copies(spark, k, percent):
                 if i != j and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                     links, hit = links + 1, hit + (comp[i] == comp[j])
     assert hit >= 0.9 * links
+
+
+def fits_into(small, big):
+    """Whether the pieces of small fit into those of big, each piece of big being a bin (every placement tried)."""
+    if not small:
+        return True
+    x, rest = small[0], small[1:]
+    return any(x <= r and fits_into(rest, [*big[:i], r - x, *big[i + 1 :]]) for i, r in enumerate(big) if r not in big[:i])
+
+
+def test_fillings_dominate_all_others():
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity = rng.randint(8, 20)
+        items = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 8))), reverse=True)
+        largest, rest = items[0], items[1:]
+        got = list(packing.fillings(collections.Counter(items), largest, capacity))
+        every = {tuple(sorted((x for x, k in zip(rest, bits) if k), reverse=True)) for bits in itertools.product((0, 1), repeat=len(rest))}
+        every = {f for f in every if sum(f) <= capacity - largest}
+        assert len(set(map(tuple, got))) == len(got) and set(map(tuple, got)) <= every
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        for f in every:
+            assert any(fits_into(list(f), list(g)) for g in got), (items, f, got)
+
+
+def test_search_improves_on_best_fit():
+    """Bin completion finds what best fit decreasing misses; the lower bound is never above the best packing."""
+    rng = random.Random(12)
+    better = 0
+    for _ in range(300):
+        items = [rng.randint(150, 500) for _ in range(rng.randint(12, 24))]
+        counts = dict(collections.Counter(items))
+        fit = sum(p.times for p in packing.best_fit_decreasing(counts, 1000))
+        got = packing.complete(counts, 1000)
+        placed = collections.Counter()
+        for p in got:
+            assert sum(s * n for s, n in p.parts) <= 1000
+            placed.update({s: n * p.times for s, n in p.parts})
+        assert placed == counts
+        used = sum(p.times for p in got)
+        assert packing.lower_bound(counts, 1000) <= used <= fit
+        better += used < fit
+    assert better >= 3
+
+
+def test_pieces_of_a_whole_table(spark):
+    """Every column of the query against the tokenizers library, and the sequences against their capacity."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        want += [(r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    out = queries.op4_bin_completion(spark, SF).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+    sequences = collections.defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    sizes = collections.Counter(r["length"] for r in out)
+    assert len(sequences) <= sum(p.times for p in packing.best_fit_decreasing(sizes, 1024))
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    score = lambda d: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["score"], r["base_score"]) for r in lm.train_and_score(d).collect())
+    a, b = score(docs), score(docs.repartition(7))
+    assert [r[:3] for r in a] == [r[:3] for r in b]
+    assert np.allclose([r[3:] for r in a], [r[3:] for r in b], rtol=1e-9, atol=0)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    rows = [r for r in lm.train_and_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r["held_out"]]
+    n, base, model = (sum(r[c] for r in rows) for c in ("n_tokens", "base_score", "score"))
+    assert model > base and 10 ** (-model / n) < 0.7 * 10 ** (-base / n)
+
+
+def test_seating_follows_the_restaurant():
+    """Mean numbers of tables against the recursion of the Chinese restaurant process; draws depend on the key alone."""
+    rng = np.random.default_rng(1)
+    key = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    for n, pull, discount in ((2, 0.3, 0.7), (10, 0.3, 0.7), (40, 1.5, 0.5), (400, 5.0, 0.3)):
+        got = lm.seat(key, np.full(len(key), n), np.full(len(key), pull), discount, 1)
+        law = np.zeros(n + 1)
+        law[1] = 1.0
+        for k in range(1, n):
+            p = pull / (pull + k - discount * np.minimum(np.arange(n + 1), k))
+            law = law * (1 - p) + np.concatenate([[0], (law * p)[:-1]])
+        assert abs(got.mean() - law @ np.arange(n + 1)) < 0.03 * got.mean()
+        some = rng.permutation(len(key))[:500]
+        assert (lm.seat(key[some], np.full(500, n), np.full(500, pull), discount, 1) == got[some]).all()
+
+
+def test_the_model_is_the_interpolated_one(spark):
+    """Scores of a small table against the predictive law written out from the seated rows."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("ab cd the of x yy".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(100, None)], "doc_id long, text string")
+    model, rows = lm.train(docs)
+    table = {}
+    for r in rows.collect():
+        e = np.frombuffer(r["entries"], dtype=lm.SEATED)
+        table[r["w"]] = (e, r["roots"])
+    h = model.hyper
+    for most in (0, 3, 1000):
+        for r in lm.score(docs, model, rows, most).collect():
+            text = next(d["text"] for d in docs.collect() if d["doc_id"] == r["doc_id"])
+            keys, _ = lm.token_keys([(text or "").encode()], model.contexts)
+            want = 0.0
+            for key in keys:
+                w, c = int((key & ~lm._LOW).view(np.int64)), int(key & lm._LOW)
+                e, roots = table.get(w, (np.empty(0, lm.SEATED), [0.0] * lm.SAMPLES))
+                p = 0.0
+                for s, x in enumerate(model.samples):
+                    tables = e[f"t{s}"].sum()
+                    root = (tables - h.d0 * roots[s] + (h.s0 + h.d0 * x.t) / (h.v + 1)) / (h.s0 + x.m)
+                    at = e[e["c"] == c]
+                    own = max(at["n"][0] - h.d1 * at[f"t{s}"][0], 0) if len(at) else 0
+                    p += (own + (h.s1 + h.d1 * x.tables[c]) * root) / (h.s1 + h.customers[c]) / lm.SAMPLES
+                want += np.log10(p)
+            assert abs(r["score"] - want) < 1e-5 * max(1, abs(want))
+
+
+def test_outlier_estimate_is_a_fixed_point_of_concentration(spark):
+    """Estimates of a table against a brute force that sorts distances: what the operator ends with has the least
+    determinant of both starts, and a concentration step of it does not change it by more than a bin's width."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 5)) * [1.0, 0.3, 0.2, 0.2, 0.3] + [5, 1.5, 0.3, 0.3, 0.3]
+    x[:60] += [0, 2.0, 3.0, 0, 0]
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "_group string, x1 double, x2 double, x3 double, x4 double, x5 double").cache()
+    got = quality.mcd_estimates(rows).first()
+    mean = np.array([got[f"m{i}"] for i in range(1, 6)])
+    inverse = np.array([[got[f"p{max(i, j)}{min(i, j)}"] for j in range(1, 6)] for i in range(1, 6)])
+    d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    inner = x[np.argsort(d)[: int(got["n"])]]
+    cov = np.cov(inner.T, bias=True) + np.diag(np.square(quality.FLOORS))
+    assert np.allclose(inner.mean(axis=0), mean, atol=0.02) and np.allclose(np.linalg.inv(inverse), cov, atol=0.02)
+    assert d[:60].min() > np.quantile(d[60:], 0.99)  # the contaminated rows lie outside
+    assert 300 <= got["n"] <= 340
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """Every group is judged; a lone junk document of a source of its own is rejected by its language's estimate."""
+    rng = random.Random(9)
+    plain = lambda: " ".join("w" * rng.randint(2, 9) + str(rng.randrange(999)) for _ in range(rng.randint(80, 300)))
+    junk = " ".join("### $$$ x%d" % rng.randrange(999) for _ in range(90))
+    rows = [(i, plain(), "en", "a") for i in range(300)] + [(1000 + i, plain(), "en", f"s{i}") for i in range(20)] + [(2000, junk, "en", "lone"), (2001, plain(), None, None)]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None for r in out.values())
+    assert not out[2000]["kept"] and all(out[1000 + i]["kept"] for i in range(20)) and out[2001]["kept"]
+
+
+def test_wrappers_fold_align_and_regions():
+    assert htmlwrap.fold(["a", "b", "a", "b", "a", "b", "c"]) == [["+", ["a", "b"]], "c"]
+    assert htmlwrap.align(["a", "b", "c"], ["a", "c"]) == ["a", ["?", ["b"]], "c"]
+    names, blocks = htmlwrap.page_blocks("<body>x<nav>y</nav><article><p>one <b>two</b><p>three<script>s</script></article><main>m</main>")
+    assert [n for n in names if n[0] == "#"] == ["#", "#!", "#a", "#a", "#m"]
+    assert [(names[i], t) for i, t in blocks] == [("#", "x"), ("#a", "one two"), ("#a", "three"), ("#m", "m")]
+
+
+def test_long_streams_are_aligned_in_parts(monkeypatch):
+    rng = random.Random(2)
+    a, b = ([rng.choice("pqrst") for _ in range(n)] for n in (300, 280))
+    monkeypatch.setattr(htmlwrap, "CELLS", 1000)
+    monkeypatch.setattr(htmlwrap, "PART", 20)
+    m = htmlwrap.Matcher(htmlwrap.fold(htmlwrap.align(a, b)))
+    assert m.match(a) is not None and m.match(b) is not None
+
+
+def test_hosts_by_their_wrappers(spark, monkeypatch):
+    """Several hosts, one without article or main and without telling names: its template's texts go, and stay if the
+    wrapper is not used; groups of any size give the same text; extra columns and repeats are harmless."""
+
+    def page(i):
+        return f"<html><body><div><a>Home</a> <a>Shop</a></div><div><h1>Title {i}</h1><p>story {i}<p>more {i}</div><div>Acme</div></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", page(i), "x") for i in range(12)] + [(i, f"http://b.example/{i}", f"<main><p>text {i}</main><p>out", "y") for i in range(20, 26)] + [(3, "http://a.example/3", page(3), "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    text = lambda: sorted((r["page_id"], r["text"]) for r in htmlwrap.extract(pages).collect())
+    want = sorted([(i, f"Title {i}\nstory {i}\nmore {i}") for i in [*range(12), 3]] + [(i, f"text {i}") for i in range(20, 26)])
+    assert text() == want
+    monkeypatch.setattr(htmlwrap, "GROUP", 2)
+    assert text() == want
+    monkeypatch.setattr(htmlwrap, "LEAST", 1 << 40)
+    assert text() != want
