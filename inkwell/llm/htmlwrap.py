@@ -1,27 +1,28 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
-Pages become token streams of block tags and text slots, with adjacent repetitions folded into repeated groups. The
-distinct streams of a host are aligned one after another: what matches stays, what one side lacks becomes an optional
-group, or one more turn of a repeated group, and texts become slots. Streams are counted before they meet, and a
-host's streams are aligned in buckets whose wrappers are then aligned, so a host of any size is a small group. Every
-page of a host matches its wrapper.
-
-Where a host has an article or main element, that element holds its main text. A page without it is matched against
-the wrapper, and its text comes from the slots: a text that most pages with the slot hold there is the template's, the
-others are content. Menus, footers, adverts, forms and the like are left out by what their elements are.
+Pages become token streams of block tags and text slots, with adjacent repetitions folded into repeated groups. A slot
+says what holds it: an article, a main element, an element that is boilerplate by its kind, class or role, or none of
+these. The distinct streams of a host are aligned one after another: what matches stays, what one side lacks becomes an
+optional group, or one more turn of a repeated group, and texts become slots. Streams are counted before they meet, and
+a host's streams are aligned in groups of about GROUP whose wrappers are then aligned, so a host of any size is many
+small groups.
+
+Every page is parsed once and matched against its host's wrapper, and its text comes from the slots it fills. Of a
+host whose wrapper has an article (or else a main element), a page with that element gives the slots within it, all of
+them. Any other page gives all slots but those of boilerplate, and of these go the texts that are the template's: those
+that most pages that fill a slot have there.
 
 Defined results: a null or empty html has an empty text. A null url is a host of its own. Fewer than LEAST distinct
-pages with a slot tell nothing of it, and its texts stay. Exact copies of a page count once in that. Repeated rows get
-the same text each. An empty table gives an empty result; extra columns are not read.
+pages with a slot tell nothing of it, and its texts stay. Exact copies of a page count once in that. Streams of which
+the product of lengths is over CELLS are aligned part by part, which keeps them matched but finds fewer repetitions.
+Repeated rows get the same text each. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Buckets in which a host's streams are aligned first; longest unit of a repetition; bytes of wrappers that may be
-#: broadcast (beyond it they are joined by host).
-BUCKETS, UNIT, BROADCAST_BYTES = 64, 6, 8 << 20
+#: Streams that are aligned in one group; longest unit of a repetition; bytes of wrappers that may be broadcast (beyond
+#: it they are joined by host); cells of the table of an alignment, and the length of the parts beyond it.
+GROUP, UNIT, BROADCAST_BYTES = 256, 6, 8 << 20
+CELLS, PART = 1 << 20, 256
 #: Distinct pages that must hold a text in a slot, besides most of those with the slot, for it to be the template's.
 LEAST = 3
 
@@ -45,7 +47,7 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 # Elements whose end tags may be left out; streams leave them out always.
 OPTIONAL_END = {"p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "body", "html", "head"}
-# Words of class, id and role that mark boilerplate.
+#: Words of class, id and role that mark boilerplate.
 NOISE = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo",
     "cookie", "cookies", "disqus", "footer", "gdpr", "legal", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
@@ -160,18 +162,22 @@ def fold(items: list) -> list:
     return items
 
 
+#: Symbols of text: within an article, within a main element, elsewhere, within boilerplate.
+IN_ARTICLE, IN_MAIN, PLAIN, NOISY = "#a", "#m", "#", "#!"
+
+
 def stream(page: str) -> list:
-    """The folded token stream of a page: block tags and `#` for text that is not blank, boilerplate included."""
+    """The folded token stream of a page."""
     return fold(page_blocks(page)[0])
 
 
-def page_blocks(page: str, want: str = "") -> tuple[list[str], list[tuple[int, str]], bool]:
-    """The symbols of a page; its blocks of text outside boilerplate and within the element `want`, each with the number
-    of its symbol; whether that element is there."""
+def page_blocks(page: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """The symbols of a page: block tags, and text that is not blank; its blocks of text outside boilerplate, each with
+    the number of its symbol."""
     out: list[str] = []
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
-    found, at = not want, -1
+    at = -1
 
     def close() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
@@ -180,28 +186,31 @@ def page_blocks(page: str, want: str = "") -> tuple[list[str], list[tuple[int, s
             blocks.append((at, text))
 
     for kind, value, stack in walk(page):
-        within = not want or any(name == want for name, _ in stack)
-        found |= within
-        raw = any(name in RAW for name, _ in stack)
         if kind == "void":
             if value == "hr":
                 close()
             else:
                 held.append(" ")
         elif kind == "text":
-            blank = not value.strip()
-            if not blank and not raw and (not out or out[-1] != "#"):
-                out.append("#")
-            if within and not any(noise for _, noise in stack):
-                if not blank:
+            names = {name for name, _ in stack}
+            if any(noise for _, noise in stack):
+                symbol = None if names & RAW else NOISY
+            else:
+                symbol = IN_ARTICLE if "article" in names else IN_MAIN if "main" in names else PLAIN
+                if held and at >= 0 and value.strip() and out[at] in (IN_ARTICLE, IN_MAIN, PLAIN) and out[at] != symbol and out[-1] == out[at]:
+                    close()
+            if value.strip() and symbol and (not out or out[-1] != symbol):
+                out.append(symbol)
+            if symbol and symbol != NOISY:
+                if value.strip():
                     at = len(out) - 1
                 held.append(value)
         elif value not in INLINE:
             close()
-            if not raw and not (kind == "close" and value in OPTIONAL_END):
+            if not any(name in RAW for name, _ in stack) and not (kind == "close" and value in OPTIONAL_END):
                 out.append(value if kind == "open" else "/" + value)
     close()
-    return out, blocks, found
+    return out, blocks
 
 
 def align(a: list, b: list) -> list:
@@ -221,6 +230,10 @@ def align(a: list, b: list) -> list:
         return grouped(core(x), not kinds & {"?", "*"}, bool(kinds & {"+", "*"}))
 
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        parts = -(-max(n, m) // PART)
+        cut = lambda x, k: x[k * len(x) // parts : (k + 1) * len(x) // parts]
+        return [item for k in range(parts) for item in align(cut(a, k), cut(b, k))]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -325,12 +338,6 @@ def matcher(wrapper: str) -> Matcher:
     return Matcher(json.loads(wrapper))
 
 
-def region(wrapper: list) -> str:
-    """The element that holds a host's main text: an article or main in the wrapper, else empty."""
-    names = set(symbols(wrapper))
-    return next((name for name in ("article", "main") if name in names), "")
-
-
 # ---- operators --------------------------------------------------------------------------------------------------
 
 
@@ -338,113 +345,103 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, value, n): how many pages have a stream."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """names: the symbols, one space between; at and texts: the blocks; page: a hash of the html."""
     for batch in batches:
-        for part in slices(batch, "_html", 4 << 20):
-            total: Counter = Counter()
-            for host, page in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), strict=True):
-                total[host, json.dumps(stream(page))] += 1
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(2)), pa.array(list(total.values()), pa.int64())], ["host", "value", "n"])
+        for part in slices(batch, "_html"):
+            rows = [page_blocks(page) for page in part.column("_html").to_pylist()]
+            made = [
+                pa.array([" ".join(names) for names, _ in rows], pa.string()),
+                pa.array([[i for i, _ in blocks] for _, blocks in rows], pa.list_(pa.int32())),
+                pa.array([[t for _, t in blocks] for _, blocks in rows], pa.list_(pa.string())),
+            ]
+            rest = [c for c in part.schema.names if c != "_html"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], [*rest, "names", "at", "texts"])
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, page (a hash of the html), names, at, texts; materialised."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("_html"))
+    return materialize(rows.mapInArrow(_parse, f"page_id {kind}, url string, host string, page long, names string, at array<int>, texts array<string>"), "parsed", {"compression": "zstd"})
 
 
-def _infer_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+def _infer(rows: pd.DataFrame) -> pd.DataFrame:
     wrapper: list | None = None
     for value in rows.sort_values(["n", "value"], ascending=[False, True])["value"]:
-        part = json.loads(value)
+        part = json.loads(value) if value[:1] == "[" else fold(value.split())
         wrapper = part if wrapper is None else align(wrapper, part)
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "value": [json.dumps(fold(wrapper or []))], "n": [int(rows["n"].sum())]})
 
 
-def slot_texts(page: str, wrapper: str, want: str = "") -> list[tuple[str, str]]:
-    """Blocks of a page as (key, text), the key being of the slot and the text; without a match the key is empty."""
-    names, blocks, _ = page_blocks(page, want)
-    places = matcher(wrapper).match(names)
-    return [(f"{places[i]}:{hashlib.blake2b(text.encode(), digest_size=8).hexdigest()}" if places else "", text) for i, text in blocks]
+def infer_wrappers(parsed: DataFrame) -> DataFrame:
+    """host, wrapper (JSON), region (the element that holds main text, or empty), pages; from all parsed pages."""
+    level = materialize(parsed.groupBy("host", F.col("names").alias("value")).agg(F.count(F.lit(1)).alias("n")), "streams")
+    most = level.groupBy("host").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
+    while True:
+        groups = -(-most // GROUP)
+        dealt = level.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(groups)))
+        level = dealt.groupBy("host", "_b").applyInPandas(_infer, "host string, value string, n long")
+        if groups == 1:
+            break
+        level, most = materialize(level, "streams"), groups
+    held = lambda name: F.col("value").contains(f'"{name}"')
+    region = F.when(held("article"), "article").when(held("main"), "main").otherwise("")
+    return materialize(level.select("host", F.col("value").alias("wrapper"), region.alias("region"), F.col("n").alias("pages")), "wrappers")
 
 
-def _slots(hosts: dict[str, dict] | None):  # noqa: ANN202
+def _match(hosts: dict[str, tuple[str, str]] | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_html", 4 << 20):
-                rows = set()
-                wrappers = part.column("wrapper").to_pylist() if hosts is None else [hosts[h]["wrapper"] for h in part.column("host").to_pylist()]
-                for host, page, wrapper in zip(part.column("host").to_pylist(), part.column("_html").to_pylist(), wrappers, strict=True):
-                    digest = hashlib.blake2b(page.encode(errors="replace"), digest_size=16).hexdigest()
-                    for key, _ in slot_texts(page, wrapper):
-                        if key:
-                            rows |= {(host, key.split(":")[0], key, digest), (host, key.split(":")[0], "", digest)}
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["host", "slot", "key", "page"])
+            places, keep, whole = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("host", "names", "at")]
+            facts = [hosts[h] for h in columns[0]] if hosts is not None else list(zip(batch.column("wrapper").to_pylist(), batch.column("region").to_pylist(), strict=True))
+            for (wrapper, root), names, at in zip(facts, columns[1], columns[2], strict=True):
+                symbols_ = names.split()
+                got = matcher(wrapper).match(symbols_)
+                places.append([got[i] if got else -1 for i in at])
+                want = {"article": IN_ARTICLE, "main": IN_MAIN}.get(root) if root in symbols_ else None
+                whole.append(want is not None)
+                keep.append([want is None or symbols_[i] == want for i in at])
+            rest = ["page_id", "url", "host", "page", "texts"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(places, pa.list_(pa.int32())), pa.array(keep, pa.list_(pa.bool_())), pa.array(whole, pa.bool_())], [*rest, "places", "keep", "whole"])
 
     return run
 
 
-def _of_hosts(rows: DataFrame, hosts: DataFrame, function, schema: str) -> DataFrame:  # noqa: ANN001
-    """function over rows with what hosts says of their host: by a broadcast, or a join if that is large."""
-    columns = [c for c in hosts.columns if c != "host"]
-    size = hosts.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*hosts.columns))) + 64), F.lit(0)).alias("b")).first()["b"]
+def match_pages(parsed: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """page_id, url, host, page, slots: array of (place in the wrapper, text) of the slots that may hold main text; whole:
+    they are those of the region."""
+    kind = parsed.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, page long, texts array<string>, places array<int>, keep array<boolean>, whole boolean"
+    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + 64), F.lit(0)).alias("b")).first()["b"]
     if size <= BROADCAST_BYTES:
-        return rows.mapInArrow(function({r["host"]: r.asDict() for r in hosts.collect()}), schema)
-    return rows.join(hosts.select("host", *columns), "host", "left").mapInArrow(function(None), schema)
-
-
-def _rows(pages: DataFrame, *columns: str) -> DataFrame:
-    return pages.select(*columns, host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("_html"))
-
-
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), region, pages; from all pages."""
-    facts = materialize(_rows(pages).mapInArrow(_facts, "host string, value string, n long").groupBy("host", "value").agg(F.sum("n").alias("n")), "streams")
-    streams = facts.select("host", "value", "n", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).alias("_b"))
-    schema = "host string, value string, n long"
-    partial = streams.groupBy("host", "_b").applyInPandas(_infer_bucket, schema)
-    merged = partial.groupBy("host").applyInPandas(_infer_bucket, schema)
-    choose = F.udf(lambda w: region(json.loads(w)), "string")
-    return materialize(merged.select("host", F.col("value").alias("wrapper"), choose("value").alias("region"), F.col("n").alias("pages")), "wrappers")
+        matched = parsed.mapInArrow(_match({r["host"]: (r["wrapper"], r["region"]) for r in wrappers.collect()}), schema)
+    else:
+        matched = parsed.join(wrappers.select("host", "wrapper", "region"), "host").mapInArrow(_match(None), schema)
+    slots = F.filter(F.arrays_zip(F.col("places").alias("place"), F.col("texts").alias("text"), F.col("keep").alias("keep")), lambda x: x["keep"])
+    return matched.select("page_id", "url", "host", "page", "whole", F.transform(slots, lambda x: F.struct(x["place"].alias("place"), x["text"].alias("text"))).alias("slots"))
 
 
-def template_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, template: keys of the slots and texts that are the template's. Pages with an article or main have no part."""
-    bare = _rows(pages).where(~F.col("_html").rlike(r"(?i)<(article|main)[\s/>]"))
-    cells = _of_hosts(bare, wrappers.select("host", "wrapper"), _slots, "host string, slot string, key string, page string").distinct()
-    held = materialize(cells.groupBy("host", "slot", "key").agg(F.count(F.lit(1)).alias("n")), "slots")
-    slots = held.where("key = ''").select("host", "slot", F.col("n").alias("_filled"))
-    common = held.where(f"key != '' AND n >= {LEAST}").join(slots, ["host", "slot"]).where("2 * n > _filled")
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
-
-
-def main_text(page: str, root: str, wrapper: str = "[]", template: frozenset[str] = frozenset()) -> str:
-    """Blocks of the region, joined by line ends; if the page lacks it, those of the body that are not the template's."""
-    if root:
-        _, blocks, found = page_blocks(page, root)
-        if found:
-            return "\n".join(text for _, text in blocks)
-    return "\n".join(text for key, text in slot_texts(page, wrapper) if key not in template)
-
-
-def _extract(hosts: dict[str, dict] | None):  # noqa: ANN202
-    known = hosts and {h: (r["region"], r["wrapper"], frozenset(r["template"])) for h, r in hosts.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_html", 4 << 20):
-                pages = part.column("_html").to_pylist()
-                if hosts is None:
-                    facts = [(r or "", w or "[]", frozenset(t or ())) for r, w, t in zip(*(part.column(c).to_pylist() for c in ("region", "wrapper", "template")), strict=True)]
-                else:
-                    facts = [known[h] if known and h in known else ("", "[]", frozenset()) for h in part.column("host").to_pylist()]
-                text = pa.array([main_text(p, *f) for p, f in zip(pages, facts, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), text], ["page_id", "url", "text"])
-
-    return run
+def template_texts(matched: DataFrame) -> DataFrame:
+    """host, template: hashes of the (place, text) pairs that are the template's."""
+    cells = matched.where("NOT whole").select("host", "page", F.explode("slots").alias("s")).where("s.place >= 0")
+    cells = cells.select("host", F.col("s.place").alias("place"), F.xxhash64("s.place", "s.text").alias("key"), "page").distinct()
+    held = materialize(cells.groupBy("host", "place", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "slots")
+    filled = cells.select("host", "place", "page").distinct().groupBy("host", "place").agg(F.count(F.lit(1)).alias("_filled"))
+    common = held.join(filled, ["host", "place"]).where("2 * n > _filled")
+    return common.groupBy("host").agg(F.collect_set("key").alias("template"))
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
-    wrappers = infer_wrappers(pages) if wrappers is None else wrappers
-    template = template_texts(pages, wrappers)
-    hosts = materialize(wrappers.join(template, "host", "left").select("host", "region", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template")), "hosts")
-    kind = pages.schema["page_id"].dataType.simpleString()
-    out = _of_hosts(_rows(pages, "page_id", "url"), hosts, _extract, f"page_id {kind}, url string, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    parsed = parse_pages(pages)
+    matched = match_pages(parsed, infer_wrappers(parsed) if wrappers is None else wrappers)
+    template = materialize(template_texts(matched), "templates")
+    size = template.agg(F.coalesce(F.sum(F.size("template") * 8 + 64), F.lit(0)).alias("b")).first()["b"]
+    out = matched.join(F.broadcast(template) if size <= BROADCAST_BYTES else template, "host", "left")
+    kept = F.filter("slots", lambda x: ~F.array_contains("template", F.xxhash64(x["place"], x["text"])) | (x["place"] < 0))
+    slots = F.when(F.col("template").isNull() | F.col("whole"), F.col("slots")).otherwise(kept)
+    text = F.array_join(F.transform(slots, lambda x: x["text"]), "\n")
+    return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
