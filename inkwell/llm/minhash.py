@@ -186,6 +186,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (id, comp; None before the first) after the links (a, b) of found. Components settled before are one node
+    each, so that only links between them are walked; the least id of a component stays its name."""
+    if labels is None:
+        return components(found)
+    name = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}"))
+    ends = found.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    up = components(ends.where("a != b").distinct()).select(F.col("id").alias("_id"), F.col("comp").alias("_up"))
+    ids = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+    known = labels.unionByName(ids.join(labels, "id", "left_anti").withColumn("comp", F.col("id")))
+    return materialize(known.join(up, known["comp"] == up["_id"], "left").select("id", F.coalesce("_up", "comp").alias("comp")), "labels")
+
+
 def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose `id` is in ids (distinct, materialised)."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
@@ -246,14 +259,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = materialize(sets.dropDuplicates(["id"]), "sets")
 
     facts = lambda side, name: known.select(F.col("id").alias(side), F.struct("n", "bits", "odd").alias(name))
-    light, edges, tested, before = buckets.withColumn("comp", F.col("rep")), None, None, math.inf
+    light, labels, tested, before = buckets.withColumn("comp", F.col("rep")), None, None, math.inf
     for turn in range(TURNS):
         near = _spokes(light, turn).join(facts("a", "x"), "a").join(facts("b", "y"), "b").where(_near(percent, "x", "y")).select("a", "b")
         new = materialize(near if tested is None else near.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = new if tested is None else tested.unionByName(new)
-        found = materialize(_verified(new, sets, percent), "edges")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+        labels = merged(labels, materialize(_verified(new, sets, percent), "edges"))
         named = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
         light = materialize(named.join(mixed, "key", "left_semi"), "active")
@@ -269,7 +280,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = materialize(_meet(active, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_verified(pairs, sets, percent), "edges")
     if more.limit(1).count():
-        labels = components(edges.unionByName(more))
+        labels = merged(labels, more)
 
     placed = classes.join(labels, classes["rep"] == labels["id"], "left").select("rep", "least", F.coalesce("comp", "rep").alias("comp"))
     named = placed.groupBy("comp").agg(F.min("least").alias("_comp")).join(placed.select("rep", "comp"), "comp").select("rep", "_comp")

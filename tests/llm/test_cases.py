@@ -377,3 +377,18 @@ def test_hosts_by_their_wrappers(spark, monkeypatch):
     assert text() == want
     monkeypatch.setattr(htmlwrap, "LEAST", 1 << 40)
     assert text() != want
+
+
+def test_merged_components_equal_those_of_all_links(spark):
+    import random
+
+    rng = random.Random(3)
+    turns = [[(min(p), max(p)) for p in (rng.sample(range(120), 2) for _ in range(30))] for _ in range(4)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long").distinct()
+    labels = None
+    for links in turns:
+        labels = minhash.merged(labels, frame(links))
+    whole = minhash.components(frame([p for links in turns for p in links]))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+    none = minhash.merged(labels, frame([]))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, labels.collect()))
