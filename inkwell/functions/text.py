@@ -75,11 +75,23 @@ def sentence_marks(t: Column) -> tuple[Column, Column]:
 
 
 def merged_words(t: Column, prompt: Column) -> Column:
-    """Words of t that are two neighbours of the prompt written as one."""
+    """Neighbouring words of the prompt that some word of t holds written as one."""
     w, p = plain_words(F.lower(t)), plain_words(F.lower(prompt))
     n = F.greatest(F.size(p) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.concat(a, b))
-    return F.size(F.filter(w, lambda x: F.array_contains(pairs, x) & ~F.array_contains(p, x)))
+    return F.size(F.filter(pairs, lambda q: F.exists(w, lambda x: x.contains(q))))
+
+
+def split_words(t: Column, prompt: Column) -> Column:
+    """Words of t of at most two characters that stand within a word of the prompt."""
+    w, p = plain_words(F.lower(t)), plain_words(F.lower(prompt))
+    return F.size(F.filter(w, lambda x: (F.char_length(x) <= 2) & F.exists(p, lambda q: q.contains(x))))
+
+
+def reading_or_blank(t: Column, measures: dict[str, Column], blank: dict[str, float | None]) -> list[Column]:
+    """The measures of a transcript, and where it has no word or is null those of a blank one."""
+    none = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), SPACE, " ")) == ""
+    return [F.when(none, F.lit(blank[k]).cast("double")).otherwise(v.cast("double")).alias(k) for k, v in measures.items()]
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

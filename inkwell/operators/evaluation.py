@@ -120,9 +120,9 @@ def spearman(df: DataFrame, x: str, y: str, feature: str) -> DataFrame:
 
 
 def ks_statistic(df: DataFrame, feature: str, value: str, group: str) -> DataFrame:
-    """Largest distance of the two groups' (0 and 1) distribution functions."""
+    """Largest distance of the two groups' (0 and 1) distribution functions, null where one group has no row."""
     at = df.groupBy(feature, value).agg(F.sum((F.col(group) == 0).cast("int")).alias("_a"), F.sum((F.col(group) == 1).cast("int")).alias("_b"))
-    share = lambda c: (F.col(f"{c}_below") + F.col(c)) / F.col(f"{c}_all")
+    share = lambda c: F.try_divide(F.col(f"{c}_below") + F.col(c), F.col(f"{c}_all"))
     return running(at, [feature], value, ["_a", "_b"]).groupBy(feature).agg(F.max(F.abs(share("_a") - share("_b"))).alias("ks_d"))
 
 

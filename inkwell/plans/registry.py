@@ -526,4 +526,4 @@ def paired_bootstrap(t):  # noqa: ANN001, ANN201
     return models.paired_bootstrap(scored(t), "model", "o_orderkey", "score", "score2", "label")
 
 
-from inkwell.plans import tables  # noqa: E402, F401
+from inkwell.plans import comparisons, tables  # noqa: E402, F401

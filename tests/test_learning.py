@@ -1,14 +1,15 @@
 """Models, layout functions, sources and ranks against brute force on small tables."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell import sources
-from inkwell.functions import letters
-from inkwell.operators import assembly, evaluation, layout, learning, relational
+from inkwell.functions import letters, text
+from inkwell.operators import assembly, evaluation, layout, learning, relational, significance
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +136,34 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("a: 3\nname: some text # note\nlist: [1, 2]\n")
     assert sources.read_config(spark, f"{tmp_path}/c.yaml") == {"a": 3, "name": "some text", "list": [1, 2]}
     assert "| 1 | s1 | 1 |" in sources.markdown(df, "Report")
+
+
+def test_p_values_equal_brute_force(spark):
+    for a, b, c, d in itertools.product((0, 1, 3, 6), repeat=4):
+        n, rows, cols = a + b + c + d, a + b, a + c
+        p = lambda i: math.comb(rows, i) * math.comb(n - rows, cols - i) / math.comb(n, cols)  # noqa: E731, B023
+        want = sum(p(i) for i in range(max(0, rows + cols - n), min(rows, cols) + 1) if p(i) <= p(a) * (1 + 1e-7))
+        assert abs(significance.fisher_p(a, b, c, d) - want) < 1e-9
+    # Student's law with one and two degrees of freedom
+    assert abs(significance.correlation_p(0.5, 3) - (1 - 2 / math.pi * math.atan(math.sqrt(1 / 3)))) < 1e-12
+    assert abs(significance.correlation_p(0.5, 4) - 0.5) < 1e-12 and significance.correlation_p(1.0, 9) == 0
+    rng = np.random.default_rng(5)
+    v, g = rng.integers(0, 6, 60), rng.integers(0, 2, 60)
+    df = spark.createDataFrame([("f", float(x), int(k)) for x, k in zip(v, g, strict=True)] + [("f", None, 1), ("one", 1.0, 1)], "f string, v double, g int")
+    out = {r["f"]: r for r in significance.mann_whitney_test(df, "f", "v", "g").collect()}
+    x, y = v[g == 1], v[g == 0]
+    u = (x[:, None] > y[None, :]).sum() + 0.5 * (x[:, None] == y[None, :]).sum()
+    n, ties = 60, sum(t**3 - t for t in np.unique(v, return_counts=True)[1])
+    sd = math.sqrt(len(x) * len(y) / 12 * (n + 1 - ties / (n * (n - 1))))
+    z = (abs(u - len(x) * len(y) / 2) - 0.5) / sd
+    assert out["f"]["u"] == u and abs(abs(out["f"]["z"]) - z) < 1e-9 and abs(out["f"]["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
+    assert out["one"]["p_value"] == 1.0
+    ks = {r["f"]: r for r in significance.ks_test(df, "f", "v", "g").collect()}
+    d = max(abs((x <= k).mean() - (y <= k).mean()) for k in range(6))
+    assert set(ks) == {"f"} and abs(ks["f"]["ks_d"] - d) < 1e-12 and 0 <= ks["f"]["p_value"] <= 1
+
+
+def test_merged_and_split_words(spark):
+    df = spark.createDataFrame([("thequick br own fox", "the quick brown fox"), ("the", "the quick"), ("", "a b"), ("a b", "")], "t string, p string")
+    out = [tuple(r) for r in df.select(text.merged_words(F.col("t"), F.col("p")), text.split_words(F.col("t"), F.col("p"))).collect()]
+    assert out == [(1, 1), (0, 0), (0, 0), (0, 0)]
