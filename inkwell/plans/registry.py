@@ -430,7 +430,9 @@ def word_levenshtein(t):  # noqa: ANN001, ANN201
 
 @query()
 def letter_errors(t):  # noqa: ANN001, ANN201
-    e = with_prompts(t).select("conv_id", "turn", "item_id", letters.letter_error_counts("prompt", "text").alias("e"))
+    sure = F.transform(text.plain_words(F.coalesce("text", F.lit(""))), lambda w: 1 / F.char_length(w))
+    script = text.script_of(F.coalesce("prompt", F.lit("")))
+    e = with_prompts(t).select("conv_id", "turn", "item_id", letters.letter_error_counts(F.col("prompt"), F.col("text"), sure, script).alias("e"))
     return e.select("conv_id", "turn", "item_id", "e.*")
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.functions import letters, text
 from inkwell.operators import models, ordered, robust
@@ -51,7 +52,9 @@ def test_turns_meet_every_prompt_of_their_task(spark, tmp_path):
     best = {(c, n): min((round(v, 6), i) for (a, b, i), v in cers.items() if (a, b) == (c, n)) for c, n, _ in turns}
     assert {(r["conv_id"], r["turn"]): (r["cer"], r["item_id"]) for r in QUERIES["cer_best_prompt"](spark, str(tmp_path)).collect()} == best
     out = QUERIES["letter_errors"](spark, str(tmp_path)).collect()
-    assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == {k: letters.letter_errors(*v) for k, v in pairs.items()} and len(out) == len(pairs)
+    sure = lambda x: [1 / len(w) for w in x.split()]
+    want = {k: tuple(letters.letter_errors(p, x, sure(x)).values()) for k, (p, x) in pairs.items()}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == want and len(out) == len(pairs)
 
 
 def test_bootstraps_take_all_models(spark):
@@ -83,5 +86,35 @@ def test_text(spark):
     df = spark.createDataFrame([("Héllo,  World! हिन्दी",), ("",)], "t string")
     assert [r[0] for r in df.select(text.clean_text(df.t)).collect()] == ["héllo world हिन्दी", ""]
     assert letters.word_distance("a b c".split(), "a x c d".split()) == 2
-    assert letters.letter_errors("form", "from")[3] + letters.letter_errors("form", "from")[0] >= 0
-    assert letters.letter_errors("abc", "abc") == (0, 0, 0, 0, 0, 0, 1.0)
+
+
+def _errors(*args):
+    """What differs from a faultless transcript's values."""
+    return {k: round(v, 4) for k, v in letters.letter_errors(*args).items() if v and not (k.endswith("_ratio") and v == 1)}
+
+
+def test_letter_errors_by_hand():
+    assert len(letters.ERRORS) == 38 and _errors("The cat sat.", "The  cat\tsat.") == {} == _errors(None, None) == _errors("", "cat")
+    assert _errors("The bad dog ran.", "the dad dog ra") == {
+        "char_omission_count": 2, "char_omission_rate": 0.125, "dropped_endings_count": 1, "dropped_endings_rate": 0.25, "char_substitution_count": 2, "char_substitution_rate": 0.125,
+        "confusable_swaps_count": 1, "confusable_rate": 0.0625, "missing_start_cap": 1, "missing_end_period": 1, "split_words_count": 1, "word_onset_errors": 1, "word_coda_errors": 1,
+        "early_line_error_rate": 0.125, "late_line_error_rate": 0.125, "motor_error_count": 2, "motor_error_rate": 0.125, "motor_vs_phonetic_ratio": 13.5, "ocr_coverage_ratio": 0.875,
+    }
+    swapped = _errors("form", "from")
+    assert swapped["letter_transpositions"] == swapped["word_mid_errors"] == 1 and "word_onset_errors" not in swapped
+    assert _errors("quick brown fox", "quickbrown")["merged_words_count"] == 1 and _errors("quick brown fox", "quick brown")["word_omission_count"] == 1
+    assert _errors("so", "soo")["letter_repeat_count"] == 1 and _errors("cat", "kat")["phonetic_error_count"] == 1 and _errors("phone", "fone")["phonetic_error_count"] == 1
+    assert _errors("", "qUick th.e") == {"midword_caps_count": 1, "midword_caps_rate": 0.5, "errant_internal_periods": 1}
+    assert _errors("", "", [1.0, 0.5, 0.5, 0.0]) == {"conf_trajectory_slope": -0.4, "conf_consistency_cv": 0.7071, "conf_drop_quarter": 1} and _errors("", "", [0.5]) == {}
+    hindi = _errors("बाल क्या", "वल कया", None, "devanagari")
+    assert hindi["confusable_swaps_count"] == hindi["matra_omissions_count"] == hindi["conjunct_errors_count"] == 1 and "midword_caps_count" not in hindi
+    assert _errors("", "qUick", None, "devanagari") == {}
+    assert _errors("a b " * 500, "")["char_omission_count"] == 1999 and _errors("a b " * 500, "")["word_omission_rate"] == 1
+
+
+def test_letter_errors_of_rows(spark):
+    rows = [("form", "from", [0.9, 0.1], "latin"), (None, None, None, "latin"), ("", "qUick", [], "latin"), ("बाल", "वल", [0.5], "devanagari"), ("form", "from", [0.9, 0.1], "latin")]
+    df = spark.createDataFrame(rows, "p string, s string, c array<double>, k string")
+    made = letters.letter_error_counts(F.col("p"), F.col("s"), F.col("c"), F.col("k")).alias("e")
+    assert sorted(tuple(r) for r in df.select(made).select("e.*").collect()) == sorted(tuple(letters.letter_errors(*r).values()) for r in rows)
+    assert df.limit(0).select(made).count() == 0
