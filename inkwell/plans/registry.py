@@ -410,10 +410,10 @@ def adjacent_dups(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", text.adjacent_duplicates(F.col("text")).cast("long").alias("duplicates"))
 
 
-def with_prompts(t) -> DataFrame:  # noqa: ANN001
-    """Each turn of a conversation with every prompt of its task."""
+def with_prompts(t, how: str = "inner") -> DataFrame:  # noqa: ANN001
+    """Each turn of a conversation with every prompt of its task; a left join keeps turns of tasks without prompts."""
     c, b = t("conversations").withColumn("k", F.col("conv_id") % 8), t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", F.col("text").alias("prompt"))
-    return c.join(b, "k")
+    return c.join(b, "k", how)
 
 
 @query()
@@ -436,6 +436,24 @@ def letter_errors(t):  # noqa: ANN001, ANN201
     return e.select("conv_id", "turn", "item_id", "e.*")
 
 
+@query()
+def prompt_scores(t):  # noqa: ANN001, ANN201
+    clean = with_prompts(t).select("conv_id", "turn", "item_id", *[text.clean_text(F.coalesce(c, F.lit(""))).alias(c) for c in ("text", "prompt")])
+    cer, wer = letters.error_rates("text", "prompt")
+    rates = clean.select("conv_id", "turn", "item_id", cer.alias("cer"), wer.alias("wer"))
+    best = rates.groupBy("conv_id", "turn").agg(F.min(F.struct("cer", "item_id")).alias("m"), F.min("wer").alias("wer"))
+    return best.select("conv_id", "turn", "m.item_id", F.round("m.cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+@query()
+def reading_features(t):  # noqa: ANN001, ANN201
+    each = with_prompts(t, "left").withColumn("cer", letters.error_rates("text", "prompt")[0])
+    best = each.groupBy("conv_id", "turn", "text").agg(F.min(F.struct("cer", "item_id", "prompt")).alias("m")).select("conv_id", "turn", "text", "m.item_id", "m.prompt")
+    sure = F.transform(text.plain_words(F.coalesce("text", F.lit(""))), lambda w: 1 / F.char_length(w))
+    made = letters.reading_features("text", "prompt", sure, text.script_of(F.coalesce("prompt", F.lit(""))))
+    return best.select("conv_id", "turn", "item_id", *made).select("*", "errors.*").drop("errors")
+
+
 _LONG = "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) "
 
 

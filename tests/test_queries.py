@@ -118,3 +118,35 @@ def test_letter_errors_of_rows(spark):
     made = letters.letter_error_counts(F.col("p"), F.col("s"), F.col("c"), F.col("k")).alias("e")
     assert sorted(tuple(r) for r in df.select(made).select("e.*").collect()) == sorted(tuple(letters.letter_errors(*r).values()) for r in rows)
     assert df.limit(0).select(made).count() == 0
+
+
+def test_reading_features(spark):
+    rows = [("the red hen", "the rad hen", [0.9, 0.3, 0.6], "latin"), ("the  red hen", " the red\then ", None, "latin"), (None, "a b", [], "latin"), ("a bc", None, None, "latin"), ("बाल", "वल", [0.5], "devanagari")]
+    df = spark.createDataFrame(rows, "p string, s string, c array<double>, k string")
+    forced = {"forced_mean_prob": F.when(F.col("k") == "latin", 0.25)}
+    out = df.select("p", "s", "c", "k", *letters.reading_features("s", "p", F.col("c"), F.col("k"), forced)).collect()
+    for r in out:
+        p, s = (" ".join((x or "").split()) for x in (r["p"], r["s"]))
+        sure = r["c"] or [1.0 if s else 0.0]
+        n, full, mean = len(s.replace(" ", "")), len(p.replace(" ", "")), sum(sure) / len(sure)
+        rate = lambda a, b: letters.word_distance(a, b) / max(1, len(a)) if a else 0.0
+        brute = [mean, min(sure), (sum((x - mean) ** 2 for x in sure) / len(sure)) ** 0.5, sum(x < 0.4 for x in sure) / len(sure), n, len(s.split()), n / max(1, full)]
+        brute += [len(s.split()) / max(1, len(p.split())), max(0, full - n) / max(1, full), rate(list(p), list(s)), rate(p.split(), s.split()), 0.25 if r["k"] == "latin" else 0, 0, 1, -20, -20]
+        assert list(r)[4:20] == pytest.approx(brute) and r["errors"].asDict() == letters.letter_errors(r["p"], r["s"], sure, r["k"])
+
+
+def test_best_prompts(spark, tmp_path):
+    turns = [(0, 0, "the red hen"), (16, 0, "Fox, the  red"), (8, 1, None), (8, 1, None), (1, 0, "alone")]
+    prompts = [(0, "the red Hen."), (8, "hen the red fox"), (16, ""), (24, "xof the red")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(prompts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda x: "".join(ch for ch in (x or "").lower() if ch.isalpha() or ch == " ").split()
+    rate = lambda a, b: round(letters.word_distance(a, b) / max(1, len(a)), 6)
+    want = set()
+    for c, n, x in turns[:4]:
+        cer, item = min((rate(list(" ".join(plain(p))), list(" ".join(plain(x)))), i) for i, p in prompts)
+        want.add((c, n, item, cer, min(rate(plain(p), plain(x)) for _, p in prompts)))
+    got = QUERIES["prompt_scores"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 3
+    vectors = {(r["conv_id"], r["turn"]): r for r in QUERIES["reading_features"](spark, str(tmp_path)).collect()}
+    assert {k: r["item_id"] for k, r in vectors.items()} == {(0, 0): 0, (16, 0): 24, (8, 1): 16, (1, 0): None} and len(vectors[0, 0]) == 3 + 16 + 38
