@@ -144,6 +144,31 @@ def tier(score: Column, triage: Column, referral: Column) -> Column:
     return F.when(score < triage, 0).when(score < referral, 1).otherwise(2)
 
 
+#: Names of the tiers.
+TIERS = ("Cleared / Safe Rule-Out", "Borderline / Progress Monitoring", "Tier 2 Specialist Referral")
+
+
+def pencil(tool: Column, grade: Column) -> Column:
+    """The tool's mark where it is known, else whether the grade is 3 or less."""
+    return F.coalesce(tool > 0.5, grade <= 3, F.lit(False))
+
+
+def screened(df: DataFrame, streams: list[str], coefficients: list[float], intercept: float, is_pencil: Column, triage: float, referral: float) -> DataFrame:
+    """df with p (the meta-learner's probability of streams and tool, clipped to 0.001 and 0.999), is_pencil, tier,
+    tier_label, suspected and the weight of each stream (its share of the positive coefficients, alike without any).
+    The last coefficient is the tool's. A null stream gives a null p, tier and mark."""
+    *own, tool = coefficients
+    z = F.lit(intercept) + sum((F.col(c) * k for c, k in zip(streams, own, strict=True)), F.lit(0.0)) + F.col("is_pencil").cast("int") * tool
+    p = 1 / (1 + F.exp(-z))
+    positive = [max(k, 0.0) for k in own]
+    shares = [k / sum(positive) if sum(positive) else 1 / len(own) for k in positive]
+    clipped = F.when(p.isNotNull(), F.greatest(F.lit(0.001), F.least(F.lit(0.999), p)))
+    out = df.withColumn("is_pencil", is_pencil).withColumn("p", clipped)
+    out = out.withColumn("tier", F.when(F.col("p").isNotNull(), tier(F.col("p"), F.lit(triage), F.lit(referral))))
+    label = F.get(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    return out.withColumns({"tier_label": label, "suspected": F.col("tier") > 0} | {f"{c}_weight": F.lit(w) for c, w in zip(streams, shares, strict=True)})
+
+
 def ecdf(df: DataFrame, score: str, reference: DataFrame, ref_score: str) -> DataFrame:
     """Share of reference scores at or below each score: both sides in one ordered running count."""
     ref = reference.groupBy(F.col(ref_score).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))

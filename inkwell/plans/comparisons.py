@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.operators import evaluation
 from inkwell.operators import significance as sig
-from inkwell.plans.registry import MELT, melt, query, r6
+from inkwell.plans.registry import MELT, SCORED, melt, query, r6, scored
 
 
 @query("WITH " + MELT + """, a AS (SELECT feature, v, sum(1 - grp) x, sum(grp) y FROM melt WHERE v IS NOT NULL GROUP BY 1, 2),
@@ -62,3 +63,15 @@ SELECT conv_id, turn, CASE WHEN b THEN 0 ELSE length(text) END::DOUBLE AS chars,
 def blank_readings(t):  # noqa: ANN001, ANN201
     measures = {"chars": F.char_length("text"), "confidence": F.lit(0.9), "low": F.lit(0.1), "spread": F.lit(0.0)}
     return t("conversations").select("conv_id", "turn", *text.reading_or_blank(F.col("text"), measures, {"chars": 0.0, "confidence": 0.0, "low": 1.0, "spread": None}))
+
+
+@query("WITH " + SCORED + """, s AS (SELECT o_orderkey, score AS s1, score2 AS s2, (o_orderkey % 10) / 10.0::DOUBLE AS s3, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN grp END > 0.5, o_orderkey % 7 <= 3) AS is_pencil FROM scored),
+p AS (SELECT *, greatest(0.001, least(0.999, 1 / (1 + exp(-(-2 + 2 * s1 + 1.5 * s2 - 0.5 * s3 + 0.3 * is_pencil::INT))))) AS p FROM s)
+SELECT o_orderkey, is_pencil, round(p, 4) AS p, CASE WHEN p < 0.3 THEN 0 WHEN p < 0.6 THEN 1 ELSE 2 END::INT AS tier, CASE WHEN p < 0.3 THEN 'Cleared / Safe Rule-Out' WHEN p < 0.6 THEN 'Borderline / Progress Monitoring' ELSE 'Tier 2 Specialist Referral' END AS tier_label,
+p >= 0.3 AS suspected, round(4.0 / 7::DOUBLE, 6) AS s1_weight, round(3.0 / 7::DOUBLE, 6) AS s2_weight, 0::DOUBLE AS s3_weight FROM p""")
+def screen_cohort(t):  # noqa: ANN001, ANN201
+    k = F.col("o_orderkey")
+    s = scored(t).select(k, F.col("score").alias("s1"), F.col("score2").alias("s2"), (k % 10 / 10.0).alias("s3"), "grp")
+    tool = evaluation.pencil(F.when(k % 5 > 0, F.col("grp")), k % 7)
+    done = evaluation.screened(s, ["s1", "s2", "s3"], [2.0, 1.5, -0.5, 0.3], -2.0, tool, 0.3, 0.6)
+    return done.select(k, "is_pencil", F.round("p", 4).alias("p"), "tier", "tier_label", "suspected", F.round("s1_weight", 6).alias("s1_weight"), F.round("s2_weight", 6).alias("s2_weight"), "s3_weight")

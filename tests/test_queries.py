@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import letters, text
-from inkwell.operators import models, ordered, robust
+from inkwell.operators import evaluation, models, ordered, robust
 from inkwell.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,14 @@ def test_best_prompts(spark, tmp_path):
     assert {tuple(r) for r in got} == want and len(got) == 3
     vectors = {(r["conv_id"], r["turn"]): r for r in QUERIES["reading_features"](spark, str(tmp_path)).collect()}
     assert {k: r["item_id"] for k, r in vectors.items()} == {(0, 0): 0, (16, 0): 24, (8, 1): 16, (1, 0): None} and len(vectors[0, 0]) == 3 + 16 + 38
+
+
+def test_screened_cases(spark):
+    rows = [(1, 0.0, 9.0, 1.0, 5), (2, 0.0, -9.0, None, 3), (3, 0.0, 0.0, None, None), (4, None, 0.5, 0.0, 4), (4, None, 0.5, 0.0, 4)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, tool double, grade int")
+    out = evaluation.screened(df, ["a", "b"], [-1.0, 2.0, 0.5], 0.0, evaluation.pencil(F.col("tool"), F.col("grade")), 0.4, 0.6)
+    got = [(r["id"], r["is_pencil"], r["p"], r["tier"], r["suspected"]) for r in out.collect()]
+    assert got == [(1, True, 0.999, 2, True), (2, True, 0.001, 0, False), (3, False, 0.5, 1, True)] + [(4, False, None, None, None)] * 2
+    assert {(r["a_weight"], r["b_weight"]) for r in out.collect()} == {(0.0, 1.0)}
+    none = evaluation.screened(df.limit(0), ["a", "b"], [-1.0, -2.0, 0.5], 0.0, F.lit(True), 0.4, 0.6)
+    assert none.count() == 0 and none.columns[-2:] == ["a_weight", "b_weight"]
