@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,50 @@ def _area(r: DataFrame, model: str, single: float | None = 0.5) -> DataFrame:
     return r.groupBy(model).agg(F.when((F.max("p") > 0) & (F.max("n") > 0), area / (F.max("p") * F.max("n"))).otherwise(F.lit(single)).alias("auroc"))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, value, dp, dn) in order of part and value to a row for each part of a batch: its first value, its sums
+    of dp and dn, and `low`, the pairs of one of dp below one of dn, ties half. The last value waits for the next batch,
+    so a stretch never ends among equal values."""
+    held = (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+
+    def told(part: np.ndarray, value: np.ndarray, dp: np.ndarray, dn: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums = [np.add.reduceat(x, first) for x in (dp, dn)]
+        ends = np.append(first[1:], len(part))
+        below = np.cumsum(dp) - dp
+        below = below - np.repeat(below[first], ends - first)
+        low = np.add.reduceat(dn * (below + dp / 2), first)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part[first], value[first], *sums, low)], ["part", "value", "dp", "dn", "low"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, value, dp, dn = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("part", "value", "dp", "dn"), strict=True))
+        same = (part[1:] == part[:-1]) & ((value[1:] == value[:-1]) | (np.isnan(value[1:]) & np.isnan(value[:-1])))
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        at = (part[first], value[first], np.add.reduceat(dp, first), np.add.reduceat(dn, first))
+        held = tuple(x[-1:] for x in at)
+        if len(first) > 1:
+            yield told(*(x[:-1] for x in at))
+    if len(held[0]):
+        yield told(*held)
+
+
+def swept_areas(cells: DataFrame, part: str, value: str, single: float | None = 0.5) -> DataFrame:
+    """part, auroc: area under the ROC curve of each whole-numbered part, from counts dp and dn at values, which may come
+    in many rows (ties count half, nulls are lowest). Rows are dealt over ranges of part and value once; a range gives
+    sums, and the ranges before it shift them."""
+    least = F.lit(float("-inf"))
+    rows = cells.select(F.col(part).cast("long").alias("part"), (F.coalesce(F.col(value).cast("double"), least) + 0.0).alias("value"), F.col("dp").cast("long").alias("dp"), F.col("dn").cast("long").alias("dn"))
+    ordered = rows.repartitionByRange(RANGES, "part", "value").sortWithinPartitions("part", "value")
+    got = ordered.mapInArrow(_stretches, "part long, value double, dp long, dn long, low double")
+    before = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = got.withColumn("low", F.col("low") + F.col("dn") * F.coalesce(F.sum("dp").over(before), F.lit(0)).cast("double"))
+    whole = F.sum("dp").cast("double") * F.sum("dn").cast("double")
+    area = F.when(whole > 0, (whole - F.sum("low")) / whole).otherwise(F.lit(single))
+    return shifted.groupBy("part").agg(area.alias("auroc")).select(F.col("part").cast(cells.schema[part].dataType).alias(part), "auroc")
+
+
 def alpha_sweep(df: DataFrame, a: str, b: str, label: str, steps: int = 20) -> DataFrame:
     """alpha20, auroc of alpha a + (1 - alpha) b for alpha = 0, 1 / steps, ... 1. Cases are counted by both scores first,
     so each step handles the distinct pairs, however many cases there are."""
@@ -59,9 +107,7 @@ def alpha_sweep(df: DataFrame, a: str, b: str, label: str, steps: int = 20) -> D
     pairs = df.groupBy(a, b).agg(F.sum(F.when(pos, 1).otherwise(0)).alias("dp"), F.sum(F.when(pos, 0).otherwise(1)).alias("dn"))
     alpha = F.col("alpha20") / float(steps)
     blends = pairs.withColumn("alpha20", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("blend", F.round(alpha * F.col(a) + (1 - alpha) * F.col(b), 9))
-    at = blends.groupBy("alpha20", "blend").agg(F.sum("dp").alias("dp"), F.sum("dn").alias("dn"))
-    r = running(at, ["alpha20"], "blend", ["dp", "dn"])
-    return _area(r.select("alpha20", "dp", "dn", (F.col("dp_all") - F.col("dp_below")).alias("tp"), F.col("dp_all").alias("p"), F.col("dn_all").alias("n")), "alpha20")
+    return swept_areas(blends, "alpha20", "blend")
 
 
 def average_precision(df: DataFrame, model: str, score: str, label: str) -> DataFrame:

@@ -161,3 +161,22 @@ def test_screened_cases(spark):
     assert {(r["a_weight"], r["b_weight"]) for r in out.collect()} == {(0.0, 1.0)}
     none = evaluation.screened(df.limit(0), ["a", "b"], [-1.0, -2.0, 0.5], 0.0, F.lit(True), 0.4, 0.6)
     assert none.count() == 0 and none.columns[-2:] == ["a_weight", "b_weight"]
+
+
+def test_alpha_sweep_deals_its_blends_once(spark):
+    """Brute force with ties, nulls, small batches and a part without positives; one exchange of the blends, no join."""
+    rows = [(i * 7 % 11 / 10.0 if i % 13 else None, i * 5 % 9 / 8.0, int(i * 3 % 7 > 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        swept = evaluation.alpha_sweep(df, "a", "b", "y", 4)
+        got = {r["alpha20"]: r["auroc"] for r in swept.collect()}
+        lone = evaluation.swept_areas(df.where("y = 0").selectExpr("0 AS k", "b", "0 AS dp", "1 AS dn"), "k", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for k in range(5):
+        v = [(-float("inf") if a is None else round(k / 4 * a + (1 - k / 4) * b, 9), y) for a, b, y in rows]
+        pairs = [(x > z) + (x == z) / 2 for x, p in v if p for z, q in v if not q]
+        assert got[k] == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)
+    assert [tuple(r) for r in lone] == [(0, 0.5)] and "Join" not in swept._jdf.queryExecution().executedPlan().toString()
