@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import letters, text, vectors
+from inkwell.functions import distances, letters, text, vectors
 from inkwell.operators import evaluation as ev
 from inkwell.operators import models, ordered, relational, robust
 from inkwell.sources import table
@@ -410,15 +410,23 @@ def adjacent_dups(t):  # noqa: ANN001, ANN201
     return t("documents").select("doc_id", text.adjacent_duplicates(F.col("text")).cast("long").alias("duplicates"))
 
 
-def with_prompts(t, how: str = "inner") -> DataFrame:  # noqa: ANN001
-    """Each turn of a conversation with every prompt of its task; a left join keeps turns of tasks without prompts."""
-    c, b = t("conversations").withColumn("k", F.col("conv_id") % 8), t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", F.col("text").alias("prompt"))
-    return c.join(b, "k", how)
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that cost much each, over more tasks than their bytes would get."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def with_prompts(t, how: str = "inner", made=F.col) -> DataFrame:  # noqa: ANN001
+    """Each turn of a conversation with every prompt of its task, both texts as `made` gives them; a left join keeps turns
+    of tasks without prompts. The turns are dealt anew and the few prompts sent round, so no task of pairs is large."""
+    c = dealt(t("conversations").withColumns({"k": F.col("conv_id") % 8, "text": made("text")}))
+    b = t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", made("text").alias("prompt"))
+    return c.join(F.broadcast(b), "k", how)
 
 
 @query()
 def cer_best_prompt(t):  # noqa: ANN001, ANN201
-    s = with_prompts(t).select("conv_id", "turn", "item_id", text.cer(F.coalesce("text", F.lit("")), F.coalesce("prompt", F.lit(""))).alias("cer"))
+    s = with_prompts(t).select("conv_id", "turn", "item_id", distances.rate(F.col("prompt"), F.col("text")).alias("cer"))
     best = s.groupBy("conv_id", "turn").agg(F.min(F.struct("cer", "item_id")).alias("m"))
     return best.select("conv_id", "turn", F.round("m.cer", 6).alias("cer"), "m.item_id")
 

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import letters, text
+from inkwell.functions import distances, letters, text
 from inkwell.operators import evaluation, models, ordered, robust
+from inkwell.plans import registry
 from inkwell.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +58,23 @@ def test_turns_meet_every_prompt_of_their_task(spark, tmp_path):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in out} == want and len(out) == len(pairs)
 
 
+def test_edit_distances_of_many_pairs():
+    """Patterns of one text are gone through together: carries must not pass from one to the next."""
+    draw = lambda i, n: "".join("abcdé💡 "[(i * 31 + j * j * 7 + j * i) % 7] for j in range(n))
+    prompts = [None, "", "a", "aaaa", *(draw(i, n) for i, n in enumerate((1, 5, 63, 64, 65, 128, 300)))]
+    pairs = [(p, x) for x in [None, "", "aaaa", "💡", *(draw(i + 9, n) for i, n in enumerate((2, 64, 200)))] for p in prompts]
+    for parts, cut in ((str, list), (distances.words_of, str.split), (distances.spaced, lambda x: list(" ".join(x.split())))):
+        assert distances.edit_distances(*zip(*pairs, strict=True), parts) == [letters.word_distance(cut(p or ""), cut(x or "")) for p, x in pairs]
+
+
+def test_turns_are_dealt_over_tasks(spark, tmp_path):
+    """One file of turns used to be one task of all their pairs."""
+    spark.createDataFrame([(8 * i, 0, f"turn {i}") for i in range(200)], "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(8, "turn")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = registry.with_prompts(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    assert pairs.count() == 200 and pairs.select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_bootstraps_take_all_models(spark):
     kinds = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderstatus").distinct().collect()}
     ci = QUERIES["bootstrap_ci"](spark, SF).collect()
