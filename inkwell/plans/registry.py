@@ -416,11 +416,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_prompts(t, how: str = "inner", made=F.col) -> DataFrame:  # noqa: ANN001
+def with_prompts(t, how: str = "inner", made=lambda c: c) -> DataFrame:  # noqa: ANN001
     """Each turn of a conversation with every prompt of its task, both texts as `made` gives them; a left join keeps turns
     of tasks without prompts. The turns are dealt anew and the few prompts sent round, so no task of pairs is large."""
-    c = dealt(t("conversations").withColumns({"k": F.col("conv_id") % 8, "text": made("text")}))
-    b = t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", made("text").alias("prompt"))
+    c = dealt(t("conversations").withColumns({"k": F.col("conv_id") % 8, "text": made(F.col("text"))}))
+    b = t("benchmark").select((F.col("item_id") % 8).alias("k"), "item_id", made(F.col("text")).alias("prompt"))
     return c.join(F.broadcast(b), "k", how)
 
 
@@ -446,7 +446,7 @@ def letter_errors(t):  # noqa: ANN001, ANN201
 
 @query()
 def prompt_scores(t):  # noqa: ANN001, ANN201
-    clean = with_prompts(t).select("conv_id", "turn", "item_id", *[text.clean_text(F.coalesce(c, F.lit(""))).alias(c) for c in ("text", "prompt")])
+    clean = with_prompts(t, made=lambda c: text.clean_text(F.coalesce(c, F.lit(""))))
     cer, wer = letters.error_rates("text", "prompt")
     rates = clean.select("conv_id", "turn", "item_id", cer.alias("cer"), wer.alias("wer"))
     best = rates.groupBy("conv_id", "turn").agg(F.min(F.struct("cer", "item_id")).alias("m"), F.min("wer").alias("wer"))

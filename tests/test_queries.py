@@ -75,6 +75,13 @@ def test_turns_are_dealt_over_tasks(spark, tmp_path):
     assert pairs.count() == 200 and pairs.select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_rates_of_a_turn_are_made_together(spark):
+    """No distance is made pair by pair, and texts are cleaned before they meet the prompts."""
+    plan = QUERIES["prompt_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "levenshtein" not in plan and "regexp_replace" not in above and "PythonEval" in above.replace("ArrowEvalPython", "PythonEval")
+
+
 def test_bootstraps_take_all_models(spark):
     kinds = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderstatus").distinct().collect()}
     ci = QUERIES["bootstrap_ci"](spark, SF).collect()
