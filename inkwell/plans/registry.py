@@ -459,7 +459,7 @@ def reading_features(t):  # noqa: ANN001, ANN201
     best = each.groupBy("conv_id", "turn", "text").agg(F.min(F.struct("cer", "item_id", "prompt")).alias("m")).select("conv_id", "turn", "text", "m.item_id", "m.prompt")
     sure = F.transform(text.plain_words(F.coalesce("text", F.lit(""))), lambda w: 1 / F.char_length(w))
     made = letters.reading_features("text", "prompt", F.col("sure"), text.script_of(F.coalesce("prompt", F.lit(""))))
-    return best.withColumn("sure", sure).select("conv_id", "turn", "item_id", *made).select("*", "errors.*").drop("errors")
+    return dealt(best).withColumn("sure", sure).select("conv_id", "turn", "item_id", *made).select("*", "errors.*").drop("errors")
 
 
 _LONG = "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) "
