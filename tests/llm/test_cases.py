@@ -315,6 +315,33 @@ def test_the_model_is_the_interpolated_one(spark):
             assert abs(r["score"] - want) < 1e-5 * max(1, abs(want))
 
 
+def test_every_word_sets_a_context(spark):
+    """600 words, each with a follower of its own: no context is left to another word, and the follower is likelier
+    after its word than after any other. Rows of one text, and of no doc_id, each come back."""
+    pairs = [(f"w{i}", f"f{i}") for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(pairs[i % 600])) for i in range(6000)], "doc_id long, text string")
+    model, rows = lm.train(docs)
+    keys, offsets = lm.token_keys([b" ".join(x.encode() for x in p) for p in pairs], model.contexts)
+    words = (keys >> np.uint64(51)).reshape(600, 3)
+    assert offsets.tolist() == list(range(0, 1801, 3))
+    contexts = (keys & lm._LOW).reshape(600, 3)
+    assert (contexts[:, 1:] == words[:, :-1]).all() and (contexts[:, 0] == words[0, 2]).all()
+    asked = [(None, "w1 f1"), (7, "w1 f1"), (7, "w1 f1"), (8, "w1 f2"), (9, None)]
+    out = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), model, rows).collect()
+    got = {}
+    for r in out:
+        got.setdefault((r["doc_id"], r["n_tokens"]), []).append(r["score"])
+    assert {k: len(v) for k, v in got.items()} == {(None, 3): 1, (7, 3): 2, (8, 3): 1, (9, 1): 1}
+    assert got[None, 3][0] == got[7, 3][0] == got[7, 3][1] > got[8, 3][0] + 1.5
+
+
+def test_rows_hold_arrays():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        a, b, c = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.random(n // 2), rng.integers(0, 9, n, dtype=np.uint16)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(lm.unbundle(lm.bundle(a, b, c), "<u8", "<f8", "<u2"), (a, b, c), strict=True))
+
+
 def test_outlier_estimate_is_a_fixed_point_of_concentration(spark):
     """Estimates of a table against a brute force that sorts distances: what the operator ends with has the least
     determinant of both starts, and a concentration step of it does not change it by more than a bin's width."""
