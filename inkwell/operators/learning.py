@@ -3,10 +3,11 @@ stability and transfer as loops of such fits. The loops are over folds, models a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import evaluation as ev
@@ -15,6 +16,8 @@ from inkwell.operators.models import out_of_fold
 from inkwell.operators.relational import salted_rank
 
 Fit = Callable[[DataFrame], "object"]
+#: Kinds of logistic models, with the share of the absolute penalty (that of elastic unless its options have one).
+MIXES = {"l2": 0.0, "l1": 1.0, "elastic": 0.5}
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -39,7 +42,7 @@ def estimator(kind: str, label: str, seed: int = 42, **options: float):  # noqa:
     if kind == "boosting":
         own = {k: v for k, v in names.items() if k not in ("probabilityCol", "rawPredictionCol")}
         return GBTClassifier(**own, maxIter=int(options.get("rounds", 20)), maxDepth=int(options.get("depth", 3)), seed=seed).setProbabilityCol("_p").setRawPredictionCol("_r")
-    mix = {"l2": 0.0, "l1": 1.0, "elastic": options.get("mix", 0.5)}[kind]
+    mix = options.get("mix", MIXES[kind]) if kind == "elastic" else MIXES[kind]
     return LogisticRegression(**names, elasticNetParam=mix, regParam=options.get("penalty", 0.01))
 
 
@@ -74,7 +77,9 @@ def platt(scores: DataFrame, label: str, fold: str, key: str) -> DataFrame:
 
 def nested(df: DataFrame, features: list[str], label: str, fold: str, key: str, kind: str, grid: list[dict], inner: int = 3) -> DataFrame:
     """key, fold, label, score, choice: per outer fold the grid's member of the best AUROC over inner folds of the training
-    rows, refitted on all of these."""
+    rows, refitted on all of these. Logistic models are fitted side by side (linear_nested), others one by one."""
+    if kind in MIXES:
+        return linear_nested(df, features, label, fold, key, kind, grid, inner)
     from pyspark.ml.functions import vector_to_array
 
     out = None
@@ -91,6 +96,176 @@ def nested(df: DataFrame, features: list[str], label: str, fold: str, key: str,
     return out
 
 
+def _slopes(features: list[str], inner: int, centre: np.ndarray, scale: np.ndarray, medians: np.ndarray, weights: np.ndarray, betas: dict[tuple[int, int], np.ndarray]):  # noqa: ANN202
+    """Per task and model (training set, member of the grid): loss, slope and curvature, weighted, as one array."""
+    p = len(features) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+
+        def work(cell: np.ndarray, y: np.ndarray, *columns: np.ndarray) -> None:
+            raw = np.stack(columns, axis=1)
+            gaps = np.isnan(raw).any()
+            for at in np.unique(cell):
+                own = cell == at
+                outer, left = divmod(int(at), inner)
+                for i in (i for i in range(inner + 1) if i != left):
+                    s = outer * (inner + 1) + i
+                    some = raw[own]
+                    some = np.where(np.isnan(some), medians[s], some) if gaps else some
+                    x = np.column_stack([np.ones(len(some)), (some - centre) / scale])
+                    w = weights[s][y[own]]
+                    for m in (m for m in betas if m[0] == s):
+                        z = x @ betas[m]
+                        e = np.exp(-np.abs(z))
+                        q = np.where(z >= 0, 1, e) / (1 + e)
+                        curve = (x * (w * q * (1 - q))[:, None]).T @ x
+                        loss = w @ (np.log1p(e) + np.maximum(z, 0) - y[own] * z)
+                        total[m] = total.get(m, 0.0) + np.concatenate([[loss], x.T @ (w * (q - y[own])), curve.reshape(-1)])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in range(p + 1)])
+            if sum(len(h[0]) for h in held) >= 100_000:
+                work(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            work(*map(np.concatenate, zip(*held, strict=True)))
+        if total:
+            s, g = (pa.array([m[k] for m in total], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([s, g, pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["s", "g", "x"])
+
+    return run
+
+
+def _quadratic(slope: np.ndarray, curve: np.ndarray, beta: np.ndarray, l1: np.ndarray, l2: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The coefficients of least second-order loss with penalties l1 |b| + l2 b^2 / 2; those not free stay 0."""
+    a = curve + np.diag(l2 + 1e-12)
+    r = (curve + np.diag(np.full(len(beta), 1e-12))) @ beta - slope
+    b = np.zeros(len(beta))
+    on = np.flatnonzero(free)
+    if not l1.any():
+        b[on] = np.linalg.solve(a[np.ix_(on, on)], r[on])
+        return b
+    b[on] = beta[on]
+    for _ in range(10_000):
+        before = b.copy()
+        for f in on:
+            x = r[f] - a[f] @ b + a[f, f] * b[f]
+            b[f] = np.sign(x) * max(abs(x) - l1[f], 0.0) / a[f, f]
+        if np.abs(b - before).max() < 1e-13:
+            break
+    return b
+
+
+def _fitted(sums: Callable[[dict], dict], sets: list[dict], grid: list[dict], kind: str, scale: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Coefficients of every training set and member of the grid, by Newton steps that all models take together: a pass
+    over the rows serves them all. A step that raises a model's objective is halved."""
+    done, now, last, penalties = {}, {}, {}, {}
+    for s, one in enumerate(sets):
+        for g, options in enumerate(grid):
+            if not (one["p"] and one["n"] - one["p"]):
+                done[s, g] = np.append(np.inf if one["p"] else -np.inf, np.zeros(len(scale)))
+                continue
+            penalty, mix = options.get("penalty", 0.01), options.get("mix", MIXES[kind]) if kind == "elastic" else MIXES[kind]
+            r = np.append(0.0, one["sd"] / scale)
+            penalties[s, g] = penalty * mix * r, penalty * (1 - mix) * r**2, np.append(True, one["sd"] > 0)
+            now[s, g] = np.zeros(len(scale) + 1)
+    for _ in range(200):
+        if not now:
+            return done
+        got = sums(now)
+        for m in list(now):
+            beta, (l1, l2, free), p = now[m], penalties[m], len(scale) + 1
+            x = got[m] / sets[m[0]]["w"]
+            worth = x[0] + l1 @ np.abs(beta) + l2 @ beta**2 / 2
+            if m in last and worth > last[m][1] + 1e-11 * (1 + abs(worth)):
+                now[m] = (beta + last[m][0]) / 2
+                continue
+            last[m] = beta, worth
+            now[m] = _quadratic(x[1 : p + 1], x[p + 1 :].reshape(p, p), beta, l1, l2, free)
+            if np.abs(now[m] - beta).max() < 1e-9:
+                done[m] = now.pop(m)
+    raise ValueError("logistic models without an optimum in 200 steps")
+
+
+def linear_nested(df: DataFrame, features: list[str], label: str, fold: str, key: str, kind: str, grid: list[dict], inner: int = 3) -> DataFrame:
+    """nested, of logistic models. Each row is laid out once for every outer fold that trains on it, with its inner fold;
+    all models of all folds and grid members are then fitted together to the optimum of the objective that estimator
+    has (its penalties are on standardised features, with balanced classes), and areas are exact."""
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    if len(folds) < 2:
+        raise ValueError("a fold without training rows")
+    y = (F.col(label) == 1).cast("int")
+    # NaN counts as missing, as null does
+    value = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    places = F.explode(F.array(*[F.struct(F.lit(n).alias("_k"), F.lit(k).alias("_f"), F.lit(f"#{1000 + int(k)}").alias("_salt")) for n, k in enumerate(folds)]))
+    names = [f"_x{n}" for n in range(len(features))]
+    long = df.select(F.col(key).alias("_key"), F.col(fold).alias("_fold"), y.alias("_y"), *[value(f).alias(n) for f, n in zip(features, names, strict=True)], places.alias("_o"))
+    long = long.where("_fold != _o._f").select("_key", "_y", *names, "_o._k", F.md5(F.concat(F.col("_key").cast("string"), "_o._salt").cast("binary")).alias("_h"))
+    ranked = salted_rank(long, ["_k", "_y"], ["_h", "_key"], "_rank")
+    rows = ranked.select((F.col("_k") * inner + (F.col("_rank") - 1) % inner).cast("int").alias("_cell"), "_y", *names).persist()
+    try:
+        moments = [x for n in names for x in (F.count(n).alias(f"c{n}"), F.coalesce(F.avg(n), F.lit(0.0)).alias(f"m{n}"), F.coalesce(F.var_pop(n), F.lit(0.0)).alias(f"v{n}"))]
+        cells = {(r["_cell"], r["_y"]): r for r in rows.groupBy("_cell", "_y").agg(F.count(F.lit(1)).alias("n"), *moments).collect()}
+        members = [[o * inner + j for j in range(inner) if j != i] for o in range(len(folds)) for i in range(inner + 1)]
+        gaps = [f for f, n in enumerate(names) if any(r[f"c{n}"] < r["n"] for r in cells.values())]
+        medians = np.zeros((len(members), len(names)))
+        if gaps:
+            got = rows.agg(*[F.coalesce(F.median(F.when(F.col("_cell").isin(of), F.col(names[f]))), F.lit(0.0)) for of in members for f in gaps]).first()
+            medians[:, gaps] = np.array(list(got)).reshape(len(members), len(gaps))
+        sets, weights = [], np.zeros((len(members), 2))
+        for s, of in enumerate(members):
+            mine = [(k[1], r) for k, r in cells.items() if k[0] in of]
+            n, p = (sum(r["n"] for v, r in mine if v in which) for which in ((0, 1), (1,)))
+            weights[s] = n / (2.0 * max(n - p, 1)), n / (2.0 * max(p, 1))
+            w = np.array([weights[s][v] for v, _ in mine])
+            count, there = np.array([r["n"] for _, r in mine]), np.array([[r[f"c{x}"] for x in names] for _, r in mine])
+            mean, var = (np.array([[r[f"{q}{x}"] for x in names] for _, r in mine]) for q in "mv")
+            total, missing = w @ count, count[:, None] - there
+            centre = w @ (there * mean + missing * medians[s]) / total
+            spread = w @ (there * (var + (mean - centre) ** 2) + missing * (medians[s] - centre) ** 2)
+            sd = np.sqrt(np.maximum(spread / max(total - w**2 @ count / total, 1e-300), 0.0))
+            sets.append({"n": n, "p": p, "w": total, "sd": sd, "centre": centre})
+        centre, scale = sets[inner]["centre"], np.max([one["sd"] for one in sets], axis=0)
+        scale = np.where(scale > 0, scale, 1.0)
+
+        def sums(betas: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+            out: dict[tuple[int, int], np.ndarray] = {}
+            for r in rows.mapInArrow(_slopes(names, inner, centre, scale, medians, weights, betas), "s int, g int, x array<double>").collect():
+                out[r["s"], r["g"]] = out.get((r["s"], r["g"]), 0.0) + np.array(r["x"])
+            return out
+
+        betas = _fitted(sums, sets, grid, kind, scale)
+        # of each cell the model that has not seen it
+        pick = lambda numbers: F.element_at(F.array(*[F.lit(float(x)) for x in numbers]), F.col("_cell") + 1)
+        unseen = [o * (inner + 1) + j for o in range(len(folds)) for j in range(inner)]
+
+        def score(numbers: list[np.ndarray], filled: list, at: Callable) -> Column:
+            z = at([b[0] for b in numbers])
+            for f, x in enumerate(filled):
+                z = z + at([b[f + 1] for b in numbers]) * (x - float(centre[f])) / float(scale[f])
+            return 1 / (1 + F.exp(-z))
+
+        filled = [F.coalesce(F.col(n), pick(medians[unseen, f])) for f, n in enumerate(names)]
+        parts = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), score([betas[s, g] for s in unseen], filled, pick).alias("value")) for g in range(len(grid))]))
+        judged = rows.select("_cell", "_y", parts.alias("_s")).select((F.floor(F.col("_cell") / inner) * len(grid) + F.col("_s.g")).alias("part"), "_s.value", F.col("_y").alias("dp"), (1 - F.col("_y")).alias("dn"))
+        merit = {r["part"]: r["auroc"] for r in ev.swept_areas(judged, "part", "value").collect()}
+    finally:
+        rows.unpersist()
+    best = [int(np.argmax([merit[o * len(grid) + g] for g in range(len(grid))])) for o in range(len(folds))]
+    outer = [o * (inner + 1) + inner for o in range(len(folds))]
+
+    def of_fold(numbers: list, kind: type = float) -> Column:
+        out = F.lit(kind(numbers[-1]))
+        for k, x in zip(folds[:-1], numbers[:-1], strict=True):
+            out = F.when(F.col(fold) == k, F.lit(kind(x))).otherwise(out)
+        return out
+
+    filled = [F.coalesce(value(f), of_fold(medians[outer, n])) for n, f in enumerate(features)]
+    return df.select(key, fold, label, score([betas[s, g] for s, g in zip(outer, best, strict=True)], filled, of_fold).alias("score"), of_fold(best, int).alias("choice"))
+
+
 def suite(spark, rows: dict[str, DataFrame], label: str) -> DataFrame:  # noqa: ANN001
     """model, auroc, ap of each model's scores."""
     out = None

@@ -31,6 +31,28 @@ def test_models_score_held_out_rows(cases):
     assert learning.area(learning.platt(n, "y", "fold", "id"), "y") > 0.85
 
 
+def test_nested_models_are_fitted_side_by_side(cases, spark):
+    """Against fits one by one with a tight tolerance, with gaps in a feature; and few jobs for all models."""
+    gappy = cases.withColumn("x2", F.when(F.col("id") % 7 != 0, F.col("x2"))).withColumn("y", F.when(F.col("id") % 11 == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    for kind, grid in (("elastic", [{"penalty": 0.02}, {"penalty": 0.3}]), ("l2", [{"penalty": 5.0}, {"penalty": 0.001}])):
+        spark.sparkContext.setJobGroup("nested", "nested")
+        out = {r["id"]: r for r in learning.nested(gappy, ["x1", "x2"], "y", "fold", "id", kind, grid).collect()}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nested")) < 60
+        spark.sparkContext.setJobGroup("other", "other")
+        assert len(out) == 300
+        for k in range(3) if kind == "elastic" else (1,):
+            ready = learning._assembled(learning.imputed(gappy, ["x1", "x2"], F.col("fold") != k), ["x1", "x2"])
+            choice = {r["choice"] for r in out.values() if r["fold"] == k}
+            if kind == "l2":
+                train = gappy.where(F.col("fold") != k).withColumn("_h", assembly.draw_key(F.col("id"), 1000 + k))
+                folded = relational.salted_rank(train, ["y"], ["_h", "id"], "_rank").withColumn("_inner", ((F.col("_rank") - 1) % 3).cast("int"))
+                merit = [learning.area(learning.fold_scores(folded, ["x1", "x2"], "y", "_inner", "id", kind, **g), "y") for g in grid]
+                assert choice == {int(np.argmax(merit))} or abs(merit[0] - merit[1]) < 2e-3
+            model = learning.estimator(kind, "y", **grid[choice.pop()]).setTol(1e-12).setMaxIter(1000).fit(learning._balanced(ready.where(F.col("fold") != k), "y"))
+            for r in model.transform(ready.where(F.col("fold") == k).withColumn("_w", F.lit(1.0))).select("id", "_p").collect():
+                assert abs(r["_p"][1] - out[r["id"]]["score"]) < 1e-5
+
+
 def test_what_features_are_worth(cases):
     whole = dict(learning.ablation(cases, {"good": ["x1"], "noise": ["x3"]}, "y", "fold", "id"))
     assert whole["good"] < -0.2 and abs(whole["noise"]) < 0.05
